@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from positdb.llm import packing, tokencount
+from positdb.llm import exactdedup, mixing, packing, tokencount
 from positdb.llm.common import table
 
 
@@ -20,13 +20,28 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op10_token_counts": op10_token_counts}
+    return {"op1_pack": op1_pack, "op6_mix": op6_mix, "op7_exact_dedup": op7_exact_dedup, "op10_token_counts": op10_token_counts}
+
+
+OP7_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_dedup": OP7_SQL}
