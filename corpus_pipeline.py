@@ -1,10 +1,78 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage works on all rows its predecessor kept and, but for the last, returns the columns of ``documents``:
+
+* language: documents without any letter (language ``und``) go.
+* exact_dedup: of equal texts the document with the smallest id stays; of repeated rows one.
+* near_dedup: of every group that links of five-word shingles connect, the smallest id stays.
+* mix: a document is taken as often as its source's blocks cover it; the part of a document that is covered once more
+  decides, by a seeded draw, whether the whole document is taken once more.  Documents without words stay.
+* pack: what is left is packed into sequences; null texts are empty.
+
+Null ids are never matched by the stages that drop rows by id, so such rows stay; empty tables pass through.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from positdb.llm import exactdedup, langid, minhash, mixing, packing
+from positdb.llm.common import new_folder, stored, table
+from positdb.llm.queries import tokenizer_path
+
+#: Ids up to which a drop list is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``dropped``, broadcast only if their number is within the bound."""
+    dropped = stored(dropped.select("doc_id").distinct(), "dropped")
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    name = langid.classifier(docs, F.lit(True))
+    return docs.withColumn("__language", name(F.col("text"))).where("__language.lang_pred != 'und'").select(docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    flags = stored(exactdedup.exact_dedup(docs, keep="smallest"), "flags")
+    repeated = stored(flags.groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id"), "repeated")
+    left = without(docs, flags.where("not kept"))
+    if repeated.isEmpty():
+        return left
+    again = left.join(repeated.distinct(), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return without(left, repeated).unionByName(again)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, minhash.near_duplicates(docs, width=5, percent=80).where("not kept"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(docs)
+    share = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + share)).cast("int")
+    times = taken.select("doc_id", times.alias("__times")).where("__times > 0").groupBy("doc_id").agg(F.max("__times").alias("__times"))
+    found = docs.join(times.hint("shuffle_hash"), "doc_id")
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [("language", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
+
+#: Language, near-duplicate and packing stages can't be expressed in SQL; a brute-force test covers the run.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        folder = new_folder(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return docs

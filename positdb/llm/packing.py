@@ -15,8 +15,6 @@ Null texts are empty: one end id.  Repeated rows are packed as often as they occ
 Other columns of the input are ignored.
 """
 
-from __future__ import annotations
-
 import base64
 import re
 import zlib

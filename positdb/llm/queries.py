@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from positdb.llm import exactdedup, mixing, packing, tokencount
-from positdb.llm.common import table
+from positdb.llm import exactdedup, langid, minhash, mixing, packing, tokencount
+from positdb.llm.common import id_crc32, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +21,16 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_crc32(F.col("doc_id")) % 4 == 2
+    found = langid.identify(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -33,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op6_mix": op6_mix, "op7_exact_dedup": op7_exact_dedup, "op10_token_counts": op10_token_counts}
+    return {"op1_pack": op1_pack, "op2_near_duplicates": op2_near_duplicates, "op5_language": op5_language, "op6_mix": op6_mix, "op7_exact_dedup": op7_exact_dedup, "op10_token_counts": op10_token_counts}
 
 
 OP7_SQL = """
