@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from positdb.llm import exactdedup, langid, minhash, mixing, packing, tokencount
+from positdb.llm import annforest, exactdedup, langid, minhash, mixing, packing, tokencount, toxicity
 from positdb.llm.common import id_crc32, table
 
 
@@ -25,6 +25,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annforest.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), id_crc32(F.col("doc_id")) % 4 == 2
     found = langid.identify(docs, ~held_out)
@@ -39,12 +43,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.toxicity(docs, labels, id_crc32(F.col("id")) % 5 != 0)
+    held_out = id_crc32(F.col("doc_id")) % 5 == 0
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op2_near_duplicates": op2_near_duplicates, "op5_language": op5_language, "op6_mix": op6_mix, "op7_exact_dedup": op7_exact_dedup, "op10_token_counts": op10_token_counts}
+    return {"op1_pack": op1_pack, "op2_near_duplicates": op2_near_duplicates, "op3_nearest": op3_nearest, "op5_language": op5_language, "op6_mix": op6_mix, "op7_exact_dedup": op7_exact_dedup, "op8_toxicity": op8_toxicity, "op10_token_counts": op10_token_counts}
 
 
 OP7_SQL = """
@@ -54,5 +65,20 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP3_SQL = """
+WITH v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op3_nearest": OP3_SQL, "op7_exact_dedup": OP7_SQL}
