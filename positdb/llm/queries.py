@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from positdb.llm import annforest, exactdedup, langid, minhash, mixing, packing, tokencount, toxicity
+from positdb.llm import annforest, exactdedup, langid, lmscore, minhash, mixing, packing, tokencount, toxicity
 from positdb.llm.common import id_crc32, table
 
 
@@ -50,12 +50,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lmscore.score(table(spark, sf_dir, "documents"), id_crc32(F.col("id")) % 7 != 2)
+    held_out = id_crc32(F.col("doc_id")) % 7 == 2
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op2_near_duplicates": op2_near_duplicates, "op3_nearest": op3_nearest, "op5_language": op5_language, "op6_mix": op6_mix, "op7_exact_dedup": op7_exact_dedup, "op8_toxicity": op8_toxicity, "op10_token_counts": op10_token_counts}
+    return {"op1_pack": op1_pack, "op2_near_duplicates": op2_near_duplicates, "op3_nearest": op3_nearest, "op5_language": op5_language, "op6_mix": op6_mix, "op7_exact_dedup": op7_exact_dedup, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score, "op10_token_counts": op10_token_counts}
 
 
 OP7_SQL = """
