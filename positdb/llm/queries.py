@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from positdb.llm import annforest, exactdedup, langid, lmscore, minhash, mixing, packing, tokencount, toxicity
+from positdb.llm import annforest, exactdedup, langid, lmscore, minhash, mixing, packing, quality, tokencount, toxicity
 from positdb.llm.common import id_crc32, table
 
 
@@ -29,6 +29,10 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annforest.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), id_crc32(F.col("doc_id")) % 4 == 2
     found = langid.identify(docs, ~held_out)
@@ -61,7 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op2_near_duplicates": op2_near_duplicates, "op3_nearest": op3_nearest, "op5_language": op5_language, "op6_mix": op6_mix, "op7_exact_dedup": op7_exact_dedup, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score, "op10_token_counts": op10_token_counts}
+    return {"op1_pack": op1_pack, "op2_near_duplicates": op2_near_duplicates, "op3_nearest": op3_nearest, "op4_quality": op4_quality, "op5_language": op5_language, "op6_mix": op6_mix, "op7_exact_dedup": op7_exact_dedup, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score, "op10_token_counts": op10_token_counts}
 
 
 OP7_SQL = """
