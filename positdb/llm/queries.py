@@ -75,6 +75,39 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
+), sized AS (
+    SELECT doc_id, len(s) AS n, list_sort(s) AS s FROM sets
+), classes AS (
+    SELECT min(doc_id) AS doc_id, n, s FROM sized WHERE n > 0 GROUP BY n, s
+), items AS (
+    SELECT doc_id, n, unnest(s) AS g FROM classes
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY count_g, g) AS place
+    FROM (SELECT *, count(*) OVER (PARTITION BY g) AS count_g FROM items)
+), firsts AS (
+    SELECT doc_id, n, g FROM ranked WHERE place <= n - (80 * n + 99) // 100 + 1
+), pairs AS (
+    SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM firsts a JOIN firsts b USING (g)
+    WHERE a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), links AS (
+    SELECT a, b FROM pairs JOIN classes x ON x.doc_id = a JOIN classes y ON y.doc_id = b
+    WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))
+), both_ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id, doc_id AS r FROM classes UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON a = r
+), found AS (
+    SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT z.doc_id, z.n::BIGINT AS n_shingles, coalesce(f.component_id, z.doc_id) AS component_id, z.doc_id = coalesce(f.component_id, z.doc_id) AS kept
+FROM sized z LEFT JOIN classes c ON c.n = z.n AND c.s = z.s LEFT JOIN found f ON f.doc_id = c.doc_id
+"""
+
 OP3_SQL = """
 WITH v AS (
     SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
@@ -91,4 +124,4 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_nearest": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op2_near_duplicates": OP2_SQL, "op3_nearest": OP3_SQL, "op7_exact_dedup": OP7_SQL}
