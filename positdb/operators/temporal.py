@@ -16,8 +16,9 @@ def snapshot(posits: DataFrame, at_hi: int | Column, by: str = "aset_key") -> Da
 
 def validity(posits: DataFrame, by: str = "aset_key", ident: str = "posit_id") -> DataFrame:
     """Posits with ``next_lo``, where the next of the same set begins; of equal times the smallest id stays."""
-    first = Window.partitionBy(by, "t_lo").orderBy(F.desc("t_prec"), ident)
-    single = posits.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    order = Window.partitionBy(by).orderBy("t_lo", F.desc("t_prec"), ident)
+    single = posits.withColumn("__before", F.lag("t_lo").over(order)).where("__before is null or __before != t_lo").drop("__before")
+    # Sorted by set and time already: the second window needs neither a shuffle nor a sort.
     return single.withColumn("next_lo", F.lead("t_lo").over(Window.partitionBy(by).orderBy("t_lo")))
 
 

@@ -83,7 +83,7 @@ class Compiler:
             df = df.where((F.col("vt") == p.value.vt) & (F.col("v_key") == p.value.key))
         for i, s in enumerate(slots):
             if s.role:
-                df = df.withColumn(f"s_{i}", F.element_at("apps", s.role))
+                df = df.withColumn(f"s_{i}", F.col("apps").getItem(s.role))
             else:
                 df = df.withColumn(f"s_{i}", F.explode(F.map_values("apps")))
         return df.drop("apps"), set().union(*[self.store.types[s] for s in sets]) if sets else set()
@@ -198,7 +198,7 @@ class Compiler:
             if left is None:
                 return F.lit(False)  # no time to compare
             t = right.time
-            return F.coalesce(times.compare(c.op, self.span(c.var), (t.prec, t.lo, t.hi)), F.lit(False))
+            return times.compare(c.op, self.span(c.var), (t.prec, t.lo, t.hi))
         if isinstance(right, str) and left == "time" and self.kinds.get(right) == "time":
             return times.compare(c.op, self.span(c.var), self.span(right))
         for name, kind in ((c.var, left), (right, self.kinds.get(right) if isinstance(right, str) else "value")):
@@ -218,16 +218,16 @@ class Compiler:
             number = getattr(self.value(c.var, "v_num"), op)(self.value(right, "v_num"))
             certainty = getattr(self.value(c.var, "v_cert"), op)(self.value(right, "v_cert"))
             if order:
-                return F.coalesce(number, certainty, F.lit(False))
+                return F.coalesce(number, certainty)
             return F.coalesce(number, self.value(c.var, "v_text") == self.value(right, "v_text"))
         if right.vt in values.NUMBERS:
             if order:
                 self.no_order(self.types[c.var], numbers=True)
             if right.num is None:
                 raise ExecutionError(f"{right.text} has more digits than comparisons support")
-            return F.coalesce(getattr(self.value(c.var, "v_num"), op)(F.lit(right.num).cast(values.NUMBER)), F.lit(False))
+            return getattr(self.value(c.var, "v_num"), op)(F.lit(right.num).cast(values.NUMBER))
         if right.vt == values.CERTAINTY:
-            return F.coalesce(getattr(self.value(c.var, "v_cert"), op)(F.lit(right.cert)), F.lit(False))
+            return getattr(self.value(c.var, "v_cert"), op)(F.lit(right.cert))
         if order:
             raise ExecutionError("Ordering comparison not allowed for strings")
         return (self.value(c.var, "vt") == right.vt) & (self.value(c.var, "v_key") == right.key)
