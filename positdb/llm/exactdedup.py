@@ -18,6 +18,8 @@ unless all ids of its group are null.  An empty table gives an empty result.  Ot
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from positdb.llm.common import new_folder, stored
 MEMTABLES = 4
 #: Rows up to which found groups are broadcast: about 60 bytes each.
 BROADCAST_ROWS = 500_000
+#: Filters on the digests of a run's files, as large as the number of digests in the file asks for.
+FILTER = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "1048576"}
 
 
 class LogStructuredIndex:
@@ -38,27 +42,27 @@ class LogStructuredIndex:
         self.spark, self.folder, self.runs = spark, folder, 0
         self.best = F.min if keep == "smallest" else F.max
         self.paths: list[str] = []
+        self.kind = "long"
 
     def _write(self, merged: DataFrame) -> str:
         path = f"{self.folder}/run-{self.runs:05d}"
         self.runs += 1
-        sorted_run = merged.sortWithinPartitions("digest").write
-        sorted_run.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", "1048576").parquet(path)
+        merged.sortWithinPartitions("digest").write.options(**FILTER).parquet(path)
         return path
 
     def flush(self, entries: DataFrame, memtables: int = MEMTABLES) -> None:
         """Add a batch of (digest, id); it becomes sorted runs, one for each memtable."""
         dealt = entries.withColumn("memtable", F.pmod(F.xxhash64("digest"), F.lit(memtables)))
+        self.kind = entries.schema["id"].dataType.simpleString()
         merged = dealt.groupBy("memtable", "digest").agg(self.best("id").alias("id"), F.count(F.lit(1)).alias("entries"))
         path = f"{self.folder}/flush-{self.runs:05d}"
         self.runs += 1
-        writer = merged.sortWithinPartitions("memtable", "digest").write.partitionBy("memtable")
-        writer.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", "1048576").parquet(path)
+        merged.sortWithinPartitions("memtable", "digest").write.partitionBy("memtable").options(**FILTER).parquet(path)
         self.paths.append(path)
 
     def entries(self) -> DataFrame:
-        found = self.spark.read.parquet(*self.paths)
-        return found.select("digest", "id", "entries")
+        found = [self.spark.read.schema(f"digest binary, id {self.kind}, entries long").parquet(p) for p in self.paths]
+        return reduce(DataFrame.union, found)
 
     def compact(self) -> DataFrame:
         """Merge all runs into one: a row a digest, with the id that stays."""
