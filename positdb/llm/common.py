@@ -31,8 +31,22 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this process has made.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Delete the work tables made so far; results must have been written or read before.  Returns their number."""
+    n = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:

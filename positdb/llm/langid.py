@@ -83,7 +83,7 @@ def learn(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge:
 
 
 def sample(docs: DataFrame, training: Column, id_col: str, text_col: str, lang_col: str, most: int) -> tuple[list[str], list[str]]:
-    """Texts and languages of some ``most`` training rows a language, drawn by a hash of the id."""
+    """Texts and languages of some ``most`` training rows a language, drawn by a hash of id and text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), training.alias("t"))
     rows = rows.where("t is not false and text is not null and lang is not null")
     counts = rows.groupBy("lang").count().collect()  # one row a language
@@ -91,7 +91,7 @@ def sample(docs: DataFrame, training: Column, id_col: str, text_col: str, lang_c
         return [], []
     cells = 1 << 40
     limits = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(cells, cells * most // r["count"])))])
-    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(cells)) < F.element_at(limits, F.col("lang")))
+    drawn = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(cells)) < F.element_at(limits, F.col("lang")))
     found = sorted((r.text, r.lang) for r in drawn.select("text", "lang").collect())
     order = np.random.Generator(np.random.PCG64(5)).permutation(len(found))
     return [found[i][0] for i in order], [found[i][1] for i in order]

@@ -6,7 +6,7 @@
   it, which fixes which class is good.  Patterns are counted over all documents and are at most 3 to the number of
   labellers, whatever the input.
 * Scorer: a logistic model over hashed words, word shapes and repetitions (relative frequencies in the text), fitted to the
-  posterior of ``SAMPLE`` documents at most (expected; drawn by a hash of the id).  All documents are scored by it.
+  posterior of ``SAMPLE`` documents at most (expected; drawn by a hash of id and text).  All documents are scored by it.
 * A document is kept unless the scorer and the label model agree that it is bad (both below ``CUT``).
 
 Null texts are empty; a text without words gets the score of no features and the posterior of its votes.  Repeated
@@ -177,7 +177,7 @@ def quality(docs: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_co
     patterns = {r["pattern"]: r["count"] for r in counted}
     posterior, total = label_model(patterns), sum(patterns.values())
     cells = 1 << 40
-    drawn = slim.where(F.pmod(F.xxhash64("id"), F.lit(cells)) < min(cells, cells * most // max(1, total))).select("text").collect()
+    drawn = slim.where(F.pmod(F.xxhash64("id", "text"), F.lit(cells)) < min(cells, cells * most // max(1, total))).select("text").collect()
     texts = sorted((r.text or "").encode() for r in drawn)
     model = spark.sparkContext.broadcast((posterior, *fit(texts, [posterior[votes(t)] for t in texts])))
 

@@ -375,3 +375,10 @@ def test_histories_are_distributions():
         a.start = s
         mass = sum(10 ** a.traverse([w]) for w in range(k)) + 10 ** a.traverse([-1])
         assert mass == pytest.approx(1, abs=0.03 if s else 1e-9)
+
+
+def test_work_tables_can_be_cleared(spark):
+    from positdb.llm import common
+
+    kept = common.stored(spark.range(3), "t")
+    assert kept.count() == 3 and common.clear_work(spark) >= 1 and common.clear_work(spark) == 0
