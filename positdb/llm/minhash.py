@@ -7,11 +7,14 @@
   coordinates are then neighbours in the permuted table, a signature is a minimum over contiguous slices.
 * Bands of ``ROWS`` coordinates become 64-bit keys.  At a similarity of 0.8 the chance that no band of ``BANDS``
   agrees is (1 - 0.8 ** ROWS) ** BANDS: two in a million.
-* Round 1 compares every member of a bucket with the bucket's smallest member.  Links are confirmed on full sets and
-  joined to components.  Round 2 compares, in buckets whose members are not all in one component, the members outside
-  the bucket's most frequent component with those of other components (sizes permitting).  After it every candidate
-  pair is either compared or known to be connected, so no link between components is lost, while a large group of
-  near copies costs a number of rows linear in its size.
+* Round 1 compares every member of a bucket with the bucket's smallest member and one drawn by a hash of the bucket,
+  which differs from band to band.  Links are confirmed on full sets and
+  joined to components.  Round 2 takes the members of buckets that are not all in one component.  Two sets can only be
+  linked if they share one of the first shingles of each in an order by frequency (the prefix filter, which is exact),
+  so documents that merely share a common passage part here.  Under each such shingle the members outside its most
+  frequent component are compared with those of other components (sizes permitting).  After it every candidate pair
+  is compared, known to be connected or ruled out, so no link between components is lost, while a large group of near
+  copies costs a number of rows linear in its size.
 
 Bucket statistics are partial aggregates, all joins on buckets and ids are plain equi-joins that adaptive execution
 can split, and nothing but row counts reaches the driver.
@@ -37,6 +40,8 @@ ROWS, BANDS = 8, 72
 CELLS = 1 << 20
 #: Remembered words of a worker; beyond that it starts anew.
 REMEMBERED = 300_000
+#: Share of all shingle occurrences from which the prefix filter orders a shingle by its count.
+COMMON = 2.0**-18
 #: Rows up to which ids are broadcast: about 20 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -146,20 +151,56 @@ def sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str
     return map_arrow(slim, make, f"id {kind}, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "compared")
-    # a row for each id even if ids repeat in the table
+def full_sets(ids: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """The sets of the ids in the one column of ``ids``, one row an id even if ids repeat in the table; written."""
     full = stored(sets(docs, ids, width, id_col, text_col), "sets")
-    full = full.groupBy("id").agg(F.first("shingles").alias("shingles")) if full.count() > ids.count() else full
+    return stored(full.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets") if full.count() > ids.count() else full
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     left, right = (full.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
     both = both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).withColumn("u", F.size("sa") + F.size("sb") - F.col("i"))
     return both.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
 
 
+def prefixes(full: DataFrame, percent: int) -> DataFrame:
+    """id and key: the first n - ceil(percent * n / 100) + 1 shingles of each set, rare ones first.
+
+    Shingles with a share of ``COMMON`` of all occurrences or more are ordered by their counts, at most 1 / COMMON of
+    them; all others come before these, ordered by their hashes.
+    """
+    occurrences = full.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    counts = full.select(F.explode("shingles").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+    common = sorted((r.k, r.g) for r in counts.where(F.col("k") >= max(16.0, occurrences * COMMON)).collect())
+    by_hash = np.array(sorted((g, i) for i, (_, g) in enumerate(common)), dtype=np.int64).reshape(-1, 2)
+    known = full.sparkSession.sparkContext.broadcast(by_hash)
+    kind = full.schema["id"].dataType.simpleString()
+
+    def make():
+        names, places = known.value[:, 0], known.value[:, 1] + 1
+
+        def work(batch):
+            rows, keys = [], []
+            for i, s in enumerate(batch.column("shingles")):
+                g = s.values.to_numpy(zero_copy_only=False)
+                place = np.zeros(len(g), dtype=np.int64)
+                if len(names):
+                    near = np.minimum(np.searchsorted(names, g), len(names) - 1)
+                    place = np.where(names[near] == g, places[near], 0)
+                first = np.lexsort((g, place))[: len(g) - -(-percent * len(g) // 100) + 1]
+                rows.append(np.full(len(first), i)), keys.append(g[first])
+            at = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+            return {"id": batch.column("id").take(pa.array(at, type=pa.int64())), "key": np.concatenate(keys) if keys else at}
+
+        return work
+
+    return map_arrow(full, make, f"id {kind}, key long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """id, component (smallest id reachable) of every id in ``links`` (a, b).
+    """id, component (smallest id reachable) of every id in ``links`` (a, b) but the smallest of each component.
 
     Alternates large-star and small-star steps: every step hangs neighbours on the smallest one, so a component of n
     ids becomes a star after some log n rounds.  Each round is written, so lineage stays short.
@@ -188,25 +229,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     classes = stored(classes, "classes")
     members = sketch.where("n > 0").select("id", "c1", "c2", "n", "bands").join(classes.where("id is not null").select("id", "c1", "c2", "n"), ["id", "c1", "c2", "n"], "left_semi")
     members = members.select("id", "n", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.max("id").alias("last"))
-    buckets = stored(buckets.where("hub != last").select("bucket", "hub", "hub_n"), "buckets")
+    draw = F.min_by(F.struct("id", "n"), F.xxhash64("bucket", "id"))
+    buckets = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.max("id").alias("last"), draw.alias("drawn"))
+    buckets = stored(buckets.where("hub != last").drop("last"), "buckets")
     members = stored(members.join(buckets, "bucket"), "members")
     sized = "100 * least(n, {0}) >= " + str(percent) + " * greatest(n, {0})"
-    tested = stored(members.where("id != hub").where(sized.format("hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = stored(confirmed(tested, docs, width, percent, id_col, text_col), "confirmed")
+    to_hub = members.where("id != hub").where(sized.format("hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    to_drawn = members.where("id != drawn.id").where(sized.format("drawn.n")).select(F.least("id", "drawn.id").alias("a"), F.greatest("id", "drawn.id").alias("b"))
+    tested = stored(to_hub.union(to_drawn).distinct(), "pairs")
+    ids = stored(tested.select(F.col("a").alias("id")).union(tested.select(F.col("b").alias("id"))).distinct(), "compared")
+    links = stored(confirmed(tested, full_sets(ids, docs, width, id_col, text_col), percent), "confirmed")
     found = components(links)
-    # Round 2: what the smallest members leave open.
+    # Round 2: the documents of buckets that are not all in one component.
     labelled = members.select("bucket", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = stored(labelled, "labelled")
-    per = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    open_buckets = per.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    still = stored(labelled.join(open_buckets.select("bucket", "main"), "bucket"), "open")
-    minor = still.where("component != main").select("bucket", F.col("id").alias("x"), F.col("n").alias("hub_n"), F.col("component").alias("of"))
-    cross = still.join(minor, "bucket").where(F.col("component") != F.col("of")).where(sized.format("hub_n"))
-    cross = cross.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    cross = stored(cross, "pairs")
-    if not cross.isEmpty():
-        more = stored(confirmed(cross, docs, width, percent, id_col, text_col), "confirmed")
+    open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
+    still = stored(labelled.join(open_buckets, "bucket", "left_semi").select("id", "n", "component").distinct(), "open")
+    if not still.isEmpty():
+        full = full_sets(still.select("id"), docs, width, id_col, text_col)
+        keyed = stored(prefixes(full, percent).join(still, "id"), "prefixes")
+        per = keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+        shared = per.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        keyed = stored(keyed.join(shared.select("key", "main"), "key"), "shared")
+        minor = keyed.where("component != main").select("key", F.col("id").alias("x"), F.col("n").alias("hub_n"), F.col("component").alias("of"))
+        cross = keyed.join(minor, "key").where(F.col("component") != F.col("of")).where(sized.format("hub_n"))
+        cross = cross.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        more = stored(confirmed(stored(cross, "pairs"), full, percent), "confirmed")
         if not more.isEmpty():
             found = components(links.union(more))
     found = stored(found, "components")
