@@ -7,14 +7,13 @@
   coordinates are then neighbours in the permuted table, a signature is a minimum over contiguous slices.
 * Bands of ``ROWS`` coordinates become 64-bit keys.  At a similarity of 0.8 the chance that no band of ``BANDS``
   agrees is (1 - 0.8 ** ROWS) ** BANDS: two in a million.
-* Round 1 compares every member of a bucket with the bucket's smallest member and one drawn by a hash of the bucket,
-  which differs from band to band.  Links are confirmed on full sets and
-  joined to components.  Round 2 takes the members of buckets that are not all in one component.  Two sets can only be
-  linked if they share one of the first shingles of each in an order by frequency (the prefix filter, which is exact),
-  so documents that merely share a common passage part here.  Under each such shingle the members outside its most
-  frequent component are compared with those of other components (sizes permitting).  After it every candidate pair
-  is compared, known to be connected or ruled out, so no link between components is lost, while a large group of near
-  copies costs a number of rows linear in its size.
+* Round 1 compares every member of a bucket with the bucket's smallest member.  Links are confirmed on full sets and
+  joined to components.  Buckets that are not all in one component then go on: round 2 compares their members with one
+  drawn by a hash of the bucket, which differs from band to band and so connects large groups of near copies; round 3
+  compares the members outside a bucket's most frequent component with those of other components, if their sizes
+  permit a link and they share one of the first shingles of each in an order by frequency (the prefix filter, which is
+  exact: documents that merely share a common passage part here).  After it every candidate pair is compared, known
+  to be connected or ruled out, so no link between components is lost.
 
 Bucket statistics are partial aggregates, all joins on buckets and ids are plain equi-joins that adaptive execution
 can split, and nothing but row counts reaches the driver.
@@ -166,7 +165,9 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(full: DataFrame, percent: int) -> DataFrame:
-    """id and key: the first n - ceil(percent * n / 100) + 1 shingles of each set, rare ones first.
+    """id and firsts: the first n - ceil(percent * n / 100) + 1 shingles of each set, rare ones first.
+
+    Two sets that are linked share one of them.
 
     Shingles with a share of ``COMMON`` of all occurrences or more are ordered by their counts, at most 1 / COMMON of
     them; all others come before these, ordered by their hashes.
@@ -182,21 +183,22 @@ def prefixes(full: DataFrame, percent: int) -> DataFrame:
         names, places = known.value[:, 0], known.value[:, 1] + 1
 
         def work(batch):
-            rows, keys = [], []
-            for i, s in enumerate(batch.column("shingles")):
+            keys = []
+            for s in batch.column("shingles"):
                 g = s.values.to_numpy(zero_copy_only=False)
                 place = np.zeros(len(g), dtype=np.int64)
                 if len(names):
                     near = np.minimum(np.searchsorted(names, g), len(names) - 1)
                     place = np.where(names[near] == g, places[near], 0)
                 first = np.lexsort((g, place))[: len(g) - -(-percent * len(g) // 100) + 1]
-                rows.append(np.full(len(first), i)), keys.append(g[first])
-            at = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-            return {"id": batch.column("id").take(pa.array(at, type=pa.int64())), "key": np.concatenate(keys) if keys else at}
+                keys.append(g[first])
+            ends = np.cumsum([0, *map(len, keys)])
+            values = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
+            return {"id": batch.column("id"), "firsts": pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(values))}
 
         return work
 
-    return map_arrow(full, make, f"id {kind}, key long")
+    return map_arrow(full, make, f"id {kind}, firsts array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -222,6 +224,13 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def still_open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, id, n, component of the members of buckets that hold more than one component; written."""
+    labelled = stored(members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
+    return stored(labelled.join(several, "bucket", "left_semi"), "open")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept."""
     sketch = stored(sketches(docs, width, rows, bands, cells, id_col, text_col), "sketches")
@@ -229,30 +238,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     classes = stored(classes, "classes")
     members = sketch.where("n > 0").select("id", "c1", "c2", "n", "bands").join(classes.where("id is not null").select("id", "c1", "c2", "n"), ["id", "c1", "c2", "n"], "left_semi")
     members = members.select("id", "n", F.explode("bands").alias("bucket"))
-    draw = F.min_by(F.struct("id", "n"), F.xxhash64("bucket", "id"))
-    buckets = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.max("id").alias("last"), draw.alias("drawn"))
+    buckets = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.max("id").alias("last"))
     buckets = stored(buckets.where("hub != last").drop("last"), "buckets")
     members = stored(members.join(buckets, "bucket"), "members")
     sized = "100 * least(n, {0}) >= " + str(percent) + " * greatest(n, {0})"
-    to_hub = members.where("id != hub").where(sized.format("hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    to_drawn = members.where("id != drawn.id").where(sized.format("drawn.n")).select(F.least("id", "drawn.id").alias("a"), F.greatest("id", "drawn.id").alias("b"))
-    tested = stored(to_hub.union(to_drawn).distinct(), "pairs")
+    tested = stored(members.where("id != hub").where(sized.format("hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     ids = stored(tested.select(F.col("a").alias("id")).union(tested.select(F.col("b").alias("id"))).distinct(), "compared")
     links = stored(confirmed(tested, full_sets(ids, docs, width, id_col, text_col), percent), "confirmed")
-    found = components(links)
-    # Round 2: the documents of buckets that are not all in one component.
-    labelled = members.select("bucket", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = stored(labelled, "labelled")
-    open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-    still = stored(labelled.join(open_buckets, "bucket", "left_semi").select("id", "n", "component").distinct(), "open")
+    found = stored(components(links), "components")
+    still = still_open(members.select("bucket", "id", "n"), found)
+    if not still.isEmpty():
+        full = full_sets(stored(still.select("id").distinct(), "compared"), docs, width, id_col, text_col)
+        # Round 2: with a drawn member of another component.
+        drawn = still.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("bucket", "id")).alias("d"))
+        pairs = still.join(drawn, "bucket").where("component != d.component").where(sized.format("d.n"))
+        pairs = pairs.select(F.least("id", "d.id").alias("a"), F.greatest("id", "d.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        links = stored(links.union(confirmed(pairs, full, percent)), "confirmed")
+        found = stored(components(links), "components")
+        still, tested = still_open(still.select("bucket", "id", "n"), found), tested.union(pairs)
     if not still.isEmpty():
-        full = full_sets(still.select("id"), docs, width, id_col, text_col)
-        keyed = stored(prefixes(full, percent).join(still, "id"), "prefixes")
-        per = keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-        shared = per.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        keyed = stored(keyed.join(shared.select("key", "main"), "key"), "shared")
-        minor = keyed.where("component != main").select("key", F.col("id").alias("x"), F.col("n").alias("hub_n"), F.col("component").alias("of"))
-        cross = keyed.join(minor, "key").where(F.col("component") != F.col("of")).where(sized.format("hub_n"))
+        # Round 3: what is left between components.
+        per = still.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+        main = per.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+        still = stored(still.join(main, "bucket").join(stored(prefixes(full, percent), "prefixes"), "id"), "open")
+        minor = still.where("component != main").select("bucket", F.col("id").alias("x"), F.col("n").alias("hub_n"), F.col("component").alias("of"), F.col("firsts").alias("x_firsts"))
+        cross = still.join(minor, "bucket").where(F.col("component") != F.col("of")).where(sized.format("hub_n")).where(F.arrays_overlap("firsts", "x_firsts"))
         cross = cross.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         more = stored(confirmed(stored(cross, "pairs"), full, percent), "confirmed")
         if not more.isEmpty():
