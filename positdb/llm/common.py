@@ -68,8 +68,8 @@ def crc32_of_id(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function that is made once a task and turns one batch into columns."""
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, most: int = 0) -> DataFrame:
+    """``mapInArrow`` with a function that is made once a task and turns one batch, of ``most`` rows if given, into columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -77,7 +77,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in (part for b in batches for part in ([b.slice(i, most) for i in range(0, b.num_rows, most)] if most else [b])):
             columns = work(batch)
             arrays = [x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, type=f.type) for f in target]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, target)], schema=target)

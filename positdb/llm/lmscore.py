@@ -1,27 +1,29 @@
 """Language-model scores by a weighted backoff automaton.
 
 Tokens are ASCII-lower-cased words and one end token a text.  The model is an interpolation-free backoff model of
-``ORDER`` words: absolute discounting where an n-gram is kept, else a backoff weight times the shorter history's
-probability, down to add-one word probabilities; all probabilities of a history sum to one.
-
-* Counting covers every training text.  Word counts are exact for all words and stay a distributed table.
-* An n-gram is kept where its relative frequency is at least ``KEPT``, and so are the words that get an id
-  (``FREQUENT``).  A relative bound means the same at every size and bounds what is kept: at most 1 / KEPT n-grams an
-  order and 1 / FREQUENT words, so these may be broadcast.  An n-gram can only be that frequent if its parts are,
-  which keeps the counting passes small without changing a count.
-* Kept n-grams are arcs between states (histories); a state's failure arc leads to the state of its shorter history and
-  carries the backoff weight.  One traversal of a text from left to right carries the state and sums logarithms.
-* Words without an id fall to the root.  Their counts come by a join of these words alone with the table of word
-  counts: no word of it is more frequent than FREQUENT, so the join has no hot key.
-
-Null texts are empty: one end token.  Repeated rows are scored each.  Without training texts N and V are 0 and every
-token has probability 1.  An empty table gives no rows.  Other columns are ignored.
+``ORDER`` words: absolute discounting where an n-gram was seen in training, else a backoff weight times the shorter
+history's probability, down to add-one word probabilities; all probabilities of a history sum to one.
+
+* Every n-gram of the training texts is an arc, whatever its count, so the model grows with the corpus.  ``Automaton`` is
+  the model in memory; ``score`` gives the same values with its arcs and failure arcs dealt out by history.
+* Texts are written once as chunks of some ``CHUNK`` bytes: ids local to the chunk, and its distinct words.
+* Three rounds follow.  A chunk asks for each of its distinct words, pairs and triples once, with its own training
+  counts; what adds the counts up answers every chunk.  Words: a join with the table of word counts.  Pairs are dealt by
+  their first word, triples by their history, to tasks of some ``DEALT`` tokens, as compressed arrays.
+* Pairs of a first word with more than ``HOT`` occurrences are dealt by both words; each task gives its part of the
+  failure arc's sums, a row a word and task, at most (tokens / HOT) * (1 + tokens / DEALT) rows, which are broadcast.
+* The chunk then adds up its texts' logarithms.
+
+Words, pairs and triples are told apart by 64-bit hashes in the rounds.  Null texts are empty: one end token.  Repeated
+rows are scored each.  Without training texts N and V are 0 and every token has probability 1.  An empty table gives no
+rows.  Other columns are ignored.
 """
 
 import math
-from collections import Counter
+import pickle
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -30,83 +32,171 @@ from pyspark.sql import functions as F
 from positdb.llm.common import map_arrow, stored, utf8
 
 ORDER = 3
-FREQUENT, KEPT = 2.0**-19, 2.0**-17
 DISCOUNT = 0.75
 #: The end token; no word holds a line feed.
 END = b"\n"
+#: Bytes of text a chunk, tokens a task of the rounds, occurrences from which a first word's pairs are spread.
+CHUNK, DEALT, HOT = 1 << 22, 1_500_000, 500_000
+#: Code of the begin.
+BEGIN = np.uint64(0x5BD1E995C6A4A793)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c over all texts of ``docs`` (id, text), end tokens included."""
+class Local(dict):
+    """Numbers words as they come; 0 is the begin, 1 the end."""
 
-    def make():
-        def work(batch):
-            count: Counter = Counter()
-            texts = utf8(batch, "text")
-            for t in texts:
-                count.update(t.lower().split())
-            if texts:
-                count[END] = len(texts)
-            return {"word": pa.array(list(count.keys()), type=pa.binary()), "c": list(count.values())}
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
 
-        return work
 
-    return map_arrow(docs, make, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def packed(*arrays: np.ndarray) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
 
-class Ids(dict):
-    """Id of a word; -1 where it has none."""
 
-    def __missing__(self, word: bytes) -> int:
-        return -1
+def unpacked(data: bytes) -> tuple:
+    import zstandard
 
+    return pickle.loads(zstandard.decompress(bytes(data)))
 
-def sequence(text: bytes, ids: Ids, begin: int) -> np.ndarray:
-    """Begin, the words' ids, end."""
-    words = text.lower().split()
-    out = np.empty(len(words) + 2, dtype=np.int64)
-    out[0], out[-1] = begin, ids[END]
-    out[1:-1] = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
-    return out
 
+def lists(found: list[pa.Array]) -> pa.Array:
+    """A list column with the arrays as its rows."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), type=pa.int32()), pa.concat_arrays(found)) if found else pa.array([], type=pa.list_(pa.null()))
 
-def ngram_counts(docs: DataFrame, words, n: int, shorter, least: float) -> list[tuple[int, int]]:
-    """(key, count) of the n-grams of words that have an id with a count of ``least`` or more.
 
-    A key holds the ids in base K.  ``shorter``: sorted keys of the kept (n - 1)-grams, for n above 2.  Rows that leave
-    a task are sums; what comes back is bounded by the number of tokens over ``least``.
-    """
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast((words, shorter))
+def chunks(docs: DataFrame, kind: str) -> DataFrame:
+    """chunk, ids, texts (lengths, training, local ids), words and their training counts, over ``docs`` (id, text, t)."""
 
     def make():
-        names, parts = known.value
-        base = len(names) + 1  # the last id is the begin
-        ids = Ids(zip(names, range(base - 1)))
+        partition, made = TaskContext.get().partitionId(), 0
 
         def work(batch):
-            found = []
-            for t in utf8(batch, "text"):
-                s = sequence(t, ids, base - 1)
-                if len(s) < n:
-                    continue
-                ok = np.logical_and.reduce([s[i : len(s) - n + 1 + i] >= 0 for i in range(n)])
-                at = np.flatnonzero(ok)
-                key = np.zeros(len(at), dtype=np.int64)
-                for i in range(n):
-                    key = key * base + s[at + i]
-                if n > 2:  # both shorter parts are kept
-                    for drop in (0, 1):
-                        part = key % base ** (n - 1) if drop else key // base
-                        key = key[parts[np.minimum(np.searchsorted(parts, part), len(parts) - 1)] == part]
-                found.append(key)
-            keys, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, dtype=np.int64),) * 2
-            return {"key": keys, "c": counts}
+            nonlocal made
+            out: dict[str, list] = {k: [] for k in ("chunk", "texts", "words", "counts")}
+            texts, training = utf8(batch, "text"), np.array(batch.column("t").to_pylist(), dtype=bool)
+            cuts, held = [0], 0
+            for i, t in enumerate(texts, 1):
+                held += len(t)
+                if held >= CHUNK or i == len(texts):
+                    cuts.append(i)
+                    held = 0
+            for a, b in zip(cuts, cuts[1:]):
+                local = Local({END: 1})
+                parts = []
+                for t in texts[a:b]:
+                    tokens = t.lower().split()
+                    parts.append(np.empty(len(tokens) + 2, dtype=np.int32))
+                    parts[-1][0], parts[-1][-1] = 0, 1
+                    parts[-1][1:-1] = np.fromiter(map(local.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+                lengths, seq = np.array([len(p) for p in parts], dtype=np.int32), np.concatenate(parts)
+                counts = np.bincount(seq[np.repeat(training[a:b], lengths)], minlength=len(local) + 1)[1:]
+                out["chunk"].append((partition << 36) + made)
+                out["texts"].append(packed(lengths, training[a:b], seq))
+                out["words"].append(pa.array(local.keys(), type=pa.binary()))
+                out["counts"].append(counts)
+                made += 1
+            ids = lists([batch.column("id").slice(a, b - a) for a, b in zip(cuts, cuts[1:])])
+            return out | {"ids": ids, "words": lists(out["words"]), "counts": lists([pa.array(c) for c in out["counts"]])}
 
         return work
 
-    summed = map_arrow(docs, make, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    return [(r.key, r.c) for r in summed.collect()]
+    return map_arrow(docs, make, f"chunk long, ids array<{kind}>, texts binary, words array<binary>, counts array<long>")
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two codes in order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def by_bucket(bucket: np.ndarray):
+    """(bucket, positions) for each bucket, positions ascending."""
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    return zip(found.tolist(), np.split(order, first[1:]))
+
+
+class Chunk:
+    """Distinct pairs and triples of a chunk; ``c1`` are the words' training counts."""
+
+    def __init__(self, texts: bytes, codes: np.ndarray, at: np.ndarray, counts: np.ndarray, begins: int) -> None:
+        self.lengths, training, seq = unpacked(texts)
+        self.codes = np.concatenate([[BEGIN], codes.astype(np.int64).view(np.uint64)])
+        self.c1 = np.zeros(len(self.codes), dtype=np.int64)
+        self.c1[0], self.c1[at + 1] = begins, counts
+        self.seq, n = seq.astype(np.int64), len(self.codes)
+        self.text = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        learned = training[self.text].astype(float)
+        second = np.flatnonzero(self.seq) - 1  # positions of a pair's first word
+        key, self.pair_of = np.unique(self.seq[second] * n + self.seq[second + 1], return_inverse=True)
+        self.h, self.w = key // n, key % n
+        self.pairs = np.bincount(self.pair_of, weights=learned[second], minlength=len(key)).astype(np.int64)
+        starts = np.flatnonzero(self.seq[second] == 0)
+        self.first_pairs, self.first_texts = self.pair_of[starts], self.text[second[starts]]
+        inner = np.flatnonzero(self.seq[second] != 0)  # places in ``second`` whose pair ends a triple
+        key, first, self.triple_of = np.unique(self.pair_of[inner - 1] * n + self.seq[second[inner] + 1], return_index=True, return_inverse=True)
+        self.history, self.last, self.suffix = key // n, key % n, self.pair_of[inner[first]]
+        self.triples = np.bincount(self.triple_of, weights=learned[second[inner]], minlength=len(key)).astype(np.int64)
+        self.triple_texts = self.text[second[inner]]
+
+    def pair_buckets(self, buckets: int, hot: int):
+        h = self.codes[self.h]
+        key = np.where(self.c1[self.h] > hot, pair(h, self.codes[self.w]), h)
+        return by_bucket(key % np.uint64(buckets))
+
+    def triple_buckets(self, buckets: int):
+        self.histories = pair(self.codes[self.h], self.codes[self.w])
+        return by_bucket(self.histories[self.history] % np.uint64(buckets))
+
+
+def answers_of_pairs(found: pd.DataFrame, hot: int, divisor: int) -> pd.DataFrame:
+    """For each chunk counts and failure arcs of its pairs; for hot first words, the sums of this task."""
+    asked = [unpacked(x) for x in found["asked"]]
+    ends = np.cumsum([len(x[0]) for x in asked])[:-1]
+    h, w, count, c1h, c1w = (np.concatenate(x) for x in zip(*asked))
+    _, first, of = np.unique(pair(h, w), return_index=True, return_inverse=True)
+    c2 = np.bincount(of, weights=count).astype(np.int64)
+    names, at = np.unique(h[first], return_inverse=True)
+    arcs = np.bincount(at, weights=c2 > 0)
+    lower = np.bincount(at, weights=np.where(c2 > 0, (c1w[first] + 1.0) / divisor, 0.0))
+    seen = np.zeros(len(names))
+    seen[at] = c1h[first]
+    weight = np.log10(backoff(arcs, seen, lower))
+    rows = [(c, packed(x, y), None, None, None) for c, x, y in zip(found["chunk"], np.split(c2[of], ends), np.split(weight[at[of]], ends))]
+    rows += [(None, None, int(names[i : i + 1].view(np.int64)[0]), float(arcs[i]), float(lower[i])) for i in np.flatnonzero(seen > hot)]
+    # As objects first: codes have more digits than a float.
+    out = pd.DataFrame(rows, columns=["chunk", "answer", "word", "arcs", "lower"], dtype=object)
+    return out.astype({"chunk": "Int64", "word": "Int64", "arcs": float, "lower": float}).assign(bucket=int(found["bucket"].iloc[0]))
+
+
+def answers_of_triples(found: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk counts of its triples and failure arcs of their histories."""
+    asked = [unpacked(x) for x in found["asked"]]
+    ends, history_ends = np.cumsum([len(x[4]) for x in asked])[:-1], np.cumsum([len(x[0]) for x in asked])[:-1]
+    history, runs, c2h, c1h, triple, count, c2w = (np.concatenate(x) for x in zip(*asked))
+    names, at = np.unique(history, return_inverse=True)
+    row = np.repeat(np.arange(len(history)), runs)
+    _, first, of = np.unique(triple, return_index=True, return_inverse=True)
+    c3 = np.bincount(of, weights=count).astype(np.int64)
+    kept = first[c3 > 0]
+    arcs = np.bincount(at[row[kept]], minlength=len(names))
+    lower = np.bincount(at[row[kept]], weights=(c2w[kept] - DISCOUNT) / c1h[row[kept]], minlength=len(names))
+    seen = np.zeros(len(names))
+    seen[at] = c2h
+    weight = np.log10(backoff(arcs, seen, lower))[at]
+    # Only a triple that was not seen takes the failure arc.
+    weight[np.bincount(row, weights=c3[of] == 0, minlength=len(history)) == 0] = 0.0
+    rows = [(c, packed(x, y)) for c, x, y in zip(found["chunk"], np.split(c3[of], ends), np.split(weight, history_ends))]
+    return pd.DataFrame(rows, columns=["chunk", "answer"]).assign(bucket=int(found["bucket"].iloc[0]))
+
+
+def backoff(arcs: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """What the arcs leave of a history seen so often, over what its arcs' words leave of the shorter history."""
+    left = np.maximum(1e-12, DISCOUNT * arcs / np.maximum(seen, 1)) / np.maximum(1e-12, 1 - lower)
+    return np.where(arcs > 0, left, 1.0)
 
 
 class Automaton:
@@ -175,76 +265,112 @@ class Automaton:
         return total
 
 
-_built: dict[int, Automaton] = {}
-
-
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", dealt: int = DEALT, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows where ``training`` (over ``id``) holds.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slim = slim.withColumn("t", F.coalesce(training, F.lit(False)))
     kind = slim.schema["id"].dataType.simpleString()
-    learned = slim.where(training).select("text")
-    table = stored(word_counts(learned), "words")
-    sums = table.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends")).first()
+    written = stored(chunks(slim, kind), "chunks")
+    words = written.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c"))
+    words = stored(words.where("c > 0"), "words")
+    sums = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends")).first()
     total, kinds, begins = int(sums.n or 0), int(sums.v), int(sums.ends or 0)
-    frequent = table.where(F.col("c") >= total * FREQUENT).collect()  # 1 / FREQUENT rows at most
-    frequent = sorted(((bytes(r.word), r.c) for r in frequent), key=lambda r: (-r[1], r[0]))
-    words, counts = [w for w, _ in frequent], np.array([c for _, c in frequent], dtype=float)
-    within = int((counts >= total * KEPT).sum())  # n-grams are made of these
-    grams, shorter = [], None
-    for n in range(2, ORDER + 1):
-        if not total or (grams and not grams[-1]):
-            break
-        found = sorted(ngram_counts(learned, words[:within], n, shorter, total * KEPT))
-        shorter = np.array([k for k, _ in found], dtype=np.int64)
-        grams.append(found)
-    model = spark.sparkContext.broadcast((words, counts, within, begins, total, kinds, grams))
+    divisor, buckets = total + kinds + 1, max(1, math.ceil(total / dealt))
 
-    def make():
-        words, counts, within, begins, total, kinds, grams = model.value
-        if id(model.value) not in _built:
-            _built.clear()
-            _built[id(model.value)] = Automaton(counts[:within], begins, total, kinds, grams)
-        automaton, ids = _built[id(model.value)], Ids(zip(words, range(len(words))))
-        logs = np.log10(counts + 1)
-        partition, rows = TaskContext.get().partitionId(), 0
+    # Round of words.
+    asked = written.select("chunk", F.posexplode("words").alias("at", "word")).join(words, "word")
+    known = asked.groupBy("chunk").agg(F.collect_list(F.struct("at", "c")).alias("known"))
+    codes = F.transform("words", lambda w: F.xxhash64(w)).alias("codes")
+    coded = stored(written.select("chunk", "ids", "texts", codes).join(known, "chunk", "left"), "coded")
+
+    def chunk_of(batch, i: int) -> Chunk:
+        given = batch.column("known")[i]
+        at, c = (given.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)) if given.is_valid else (np.zeros(0, dtype=np.int64),) * 2
+        return Chunk(batch.column("texts")[i].as_py(), batch.column("codes")[i].values.to_numpy(zero_copy_only=False), at, c, begins)
+
+    # Round of pairs.
+    def ask_pairs():
+        def work(batch):
+            out: dict[str, list] = {"bucket": [], "chunk": [], "asked": []}
+            for i, chunk in enumerate(batch.column("chunk").to_pylist()):
+                x = chunk_of(batch, i)
+                for b, at in x.pair_buckets(buckets, hot):
+                    h, w = x.h[at], x.w[at]
+                    out["bucket"].append(b), out["chunk"].append(chunk)
+                    out["asked"].append(packed(x.codes[h], x.codes[w], x.pairs[at], x.c1[h], x.c1[w]))
+            return out
+
+        return work
+
+    asked = map_arrow(coded.select("chunk", "texts", "codes", "known"), ask_pairs, "bucket long, chunk long, asked binary", most=1)
+    found = asked.groupBy("bucket").applyInPandas(lambda rows: answers_of_pairs(rows, hot, divisor), "bucket long, chunk long, answer binary, word long, arcs double, lower double")
+    found = stored(found, "pairs")
+    pairs = found.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("pairs"))
+    parts = found.where("word is not null").groupBy("word").agg(F.sum("arcs").alias("arcs"), F.sum("lower").alias("lower")).collect()
+    spread = docs.sparkSession.sparkContext.broadcast({r.word: (r.arcs, r.lower) for r in parts})
+
+    def with_pairs(batch, i: int) -> Chunk:
+        """The chunk with ``c2`` and ``weight`` (of the first word's failure arc) of its pairs."""
+        x = chunk_of(batch, i)
+        x.c2, x.weight = np.zeros(len(x.h), dtype=np.int64), np.zeros(len(x.h))
+        answers = {r["bucket"]: r["answer"] for r in batch.column("pairs")[i].as_py()}
+        for b, at in x.pair_buckets(buckets, hot):
+            x.c2[at], x.weight[at] = unpacked(answers[b])
+        common = np.flatnonzero(x.c1 > hot)
+        given = [spread.value.get(c, (0.0, 0.0)) for c in x.codes[common].view(np.int64).tolist()]
+        by_word = np.zeros(len(x.c1))
+        by_word[common] = np.log10(backoff(np.array([a for a, _ in given]), x.c1[common], np.array([b for _, b in given])))
+        x.weight = np.where(x.c1[x.h] > hot, by_word[x.h], x.weight)
+        return x
+
+    # Round of triples.
+    def ask_triples():
+        def work(batch):
+            out: dict[str, list] = {"bucket": [], "chunk": [], "asked": []}
+            for i, chunk in enumerate(batch.column("chunk").to_pylist()):
+                x = with_pairs(batch, i)
+                for b, at in x.triple_buckets(buckets):
+                    history, runs = np.unique(x.history[at], return_counts=True)
+                    triple = pair(x.histories[x.history[at]], x.codes[x.last[at]])
+                    out["bucket"].append(b), out["chunk"].append(chunk)
+                    out["asked"].append(packed(x.histories[history], runs, x.c2[history], x.c1[x.w[history]], triple, x.triples[at], x.c2[x.suffix[at]]))
+            return out
+
+        return work
+
+    paired = coded.join(pairs, "chunk")
+    asked = map_arrow(paired.select("chunk", "texts", "codes", "known", "pairs"), ask_triples, "bucket long, chunk long, asked binary", most=1)
+    found = stored(asked.groupBy("bucket").applyInPandas(answers_of_triples, "bucket long, chunk long, answer binary"), "triples")
+    triples = found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("triples"))
 
+    def add_up():
         def work(batch):
-            nonlocal rows
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "score", "rare")}
-            for text in utf8(batch, "text"):
-                tokens = text.lower().split() + [END]
-                at = np.fromiter(map(ids.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-                has = at >= 0
-                base = float(logs[at[has]].sum())
-                # words with an id that n-grams are not made of: the root's probability as well
-                only_root = float(logs[at[at >= within]].sum())
-                inner = np.where(at < within, at, -1)
-                out["n_tokens"].append(len(tokens))
-                out["known"].append(int(has.sum()))
-                out["base"].append(base)
-                out["score"].append(automaton.traverse(inner.tolist()) + only_root)
-                out["rare"].append([tokens[i] for i in np.flatnonzero(~has)])
-            uid = np.arange(rows, rows + len(out["base"]), dtype=np.int64) + (partition << 36)
-            rows += len(uid)
-            return out | {"id": batch.column("id"), "uid": uid, "rare": pa.array(out["rare"], type=pa.list_(pa.binary()))}
+            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "score")}
+            for i in range(batch.num_rows):
+                x = with_pairs(batch, i)
+                given = batch.column("triples")[i]
+                answers = {r["bucket"]: r["answer"] for r in given.as_py()} if given.is_valid else {}
+                c3, weight = np.zeros(len(x.history), dtype=np.int64), np.zeros(len(x.history))
+                for b, at in x.triple_buckets(buckets):
+                    c3[at], failure = unpacked(answers[b])
+                    _, of = np.unique(x.history[at], return_inverse=True)
+                    weight[at] = failure[of]
+                root = np.log10((x.c1 + 1.0) / divisor)
+                of_pair = np.where(x.c2 > 0, np.log10(np.maximum(x.c2 - DISCOUNT, 1e-9) / np.maximum(x.c1[x.h], 1)), x.weight + root[x.w])
+                of_triple = np.where(c3 > 0, np.log10(np.maximum(c3 - DISCOUNT, 1e-9) / np.maximum(x.c2[x.history], 1)), weight + of_pair[x.suffix])
+                n, tokens = len(x.lengths), x.seq != 0
+                out["n_tokens"].append(x.lengths - 1)
+                out["n_known"].append(np.bincount(x.text[tokens], weights=x.c1[x.seq[tokens]] > 0, minlength=n))
+                out["base"].append(np.bincount(x.text[tokens], weights=root[x.seq[tokens]], minlength=n))
+                sums = np.bincount(x.triple_texts, weights=of_triple[x.triple_of], minlength=n)
+                out["score"].append(sums + np.bincount(x.first_texts, weights=of_pair[x.first_pairs], minlength=n))
+            columns = {k: np.concatenate(v) if v else np.zeros(0) for k, v in out.items()}
+            return columns | {"n_known": columns["n_known"].astype(np.int64), "id": batch.column("ids").flatten()}
 
         return work
 
-    # Written before it is used twice: the numbers of its rows hold from then on.
-    scored = stored(map_arrow(slim, make, f"id {kind}, uid long, n_tokens long, known long, base double, score double, rare array<binary>"), "scored")
-    rare = scored.select("uid", F.explode("rare").alias("word")).join(table.where(F.col("c") < total * FREQUENT), "word")
-    rare = rare.groupBy("uid").agg(F.count(F.lit(1)).alias("rare_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("rare_log"))
-    log_all = math.log10(total + kinds + 1)
-    found = scored.drop("rare").join(rare, "uid", "left").fillna(0, ["rare_known", "rare_log"])
-    return found.select(
-        F.col("id").alias(id_col),
-        "n_tokens",
-        (F.col("known") + F.col("rare_known")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare_log") - F.col("n_tokens") * log_all).alias("base_score"),
-        (F.col("score") + F.col("rare_log")).alias("score"),
-    )
+    scored = map_arrow(paired.join(triples, "chunk", "left"), add_up, f"id {kind}, n_tokens long, n_known long, base double, score double", most=1)
+    return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -358,6 +358,32 @@ def test_lm_scores(spark):
     assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in nothing} == {(0, 0, 0.0, 0.0)}
 
 
+def model_of_all(train):
+    """The automaton of all n-grams of token lists, and the ids of its words."""
+    c = Counter(w for t in train for w in t)
+    ids = {w: i for i, w in enumerate(sorted(c))}
+    base, grams = len(ids) + 1, []
+    for n in (2, 3):
+        g = Counter()
+        for t in train:
+            s = [base - 1, *(ids[w] for w in t)]
+            g.update(sum(s[i + j] * base ** (n - 1 - j) for j in range(n)) for i in range(len(s) - n + 1))
+        grams.append(sorted(g.items()))
+    return lmscore.Automaton(np.array([float(c[w]) for w in sorted(c)]), len(train), sum(c.values()), len(c), grams), ids
+
+
+@pytest.mark.parametrize("limits", [{}, {"dealt": 500, "hot": 20}])
+def test_every_ngram_counts_however_large_the_corpus(spark, limits):
+    """Pairs and triples seen once among 400 000 tokens are arcs; with small limits, common first words are spread."""
+    found = rows(n=100) + [(5000, "filler words " * 200_000, "en", "a", 0), (None, "no id", "en", "a", 0)]
+    train = [words(t) + [b"\n"] for i, t, *_ in found if i is not None and crc(i) % 7 != 2]
+    assert any(i == 5000 and crc(i) % 7 != 2 for i, *_ in found)
+    automaton, ids = model_of_all(train)
+    want = sorted(round(automaton.traverse([ids.get(w, -1) for w in words(t) + [b"\n"]]), 4) for _, t, *_ in found)
+    got = lmscore.score(table(spark, found), id_crc32(F.col("id")) % 7 != 2, **limits).collect()
+    assert sorted(r.score for r in got) == pytest.approx(want, abs=1e-3)
+
+
 def test_histories_are_distributions():
     """The probabilities of all words, and of one unknown word, sum to one in every state."""
     rnd = random.Random(9)
