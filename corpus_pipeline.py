@@ -51,12 +51,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs)
-    share = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + share)).cast("int")
-    times = taken.select("doc_id", times.alias("__times")).where("__times > 0").groupBy("doc_id").agg(F.max("__times").alias("__times"))
-    found = docs.join(times.hint("shuffle_hash"), "doc_id")
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(docs.columns)
+    # Copies belong to rows, not to ids, which may be null or repeated; numbers of written rows hold.
+    docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed")
+    taken = mixing.mix(docs, carried=("__row",))
+    times = taken.select("__row", F.col("size").alias("__size"), F.expr("if(size = 0, 0, taken / size)").alias("__covered"))
+    found = docs.join(times.hint("shuffle_hash"), "__row")
+    # Nulls leave a hash as it is: documents without id draw by their texts.
+    share = F.pmod(F.xxhash64(F.lit(29), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1 << 20)) / F.lit(1 << 20)
+    times = F.when(F.col("__size") == 0, 1).otherwise(F.floor(F.col("__covered") + share)).cast("int")
+    found = found.withColumn("__times", times).where("__times > 0")
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select([c for c in docs.columns if c != "__row"])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

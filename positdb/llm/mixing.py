@@ -60,14 +60,15 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most_repeats: float)
     return ranked.select("key", "source_size", F.when(F.col("stopped"), F.col("limit")).otherwise(last * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_repeats: int = 3, block: int = 32, shards: int = 512, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, taken (words the mix takes, repeats counted)."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_repeats: int = 3, block: int = 32, shards: int = 512, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: id, size, source_size, target, taken (words the mix takes, repeats counted), ``carried``."""
     slim = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(shards)).alias("shard"),
         F.xxhash64(F.lit(seed + 1), F.col(id_col)).alias("place"),
+        *carried,
     ).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))  # null and empty names differ
     slim = stored(slim, "sizes")
     parts = slim.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
@@ -95,4 +96,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_repeats: int
         "source_size",
         "target",
         F.least(F.col("size") * most_repeats, F.expr(f"whole * size + {overlap}")).cast("long").alias("taken"),
+        *carried,
     )

@@ -1,6 +1,7 @@
 """The stages against brute force, and the pipeline as a whole."""
 
 import math
+from collections import Counter
 
 import corpus_pipeline
 from positdb.llm.common import stored
@@ -40,3 +41,12 @@ def test_run_and_empty_table(spark, tmp_path):
         table(spark, found, extra=False).write.parquet(f"{folder}/documents.parquet")
         out = corpus_pipeline.run(spark, folder)
         assert (out.count() > 0) == bool(found)
+
+
+def test_mix_takes_rows_without_id(spark):
+    """A source all of whose rows have no id is taken whole times: each row as often as its own words are covered."""
+    found = [(None, f"text {i} " + "word " * (10 + i), "en", "b", i) for i in range(20)] + [(None, None, "en", "b", 99)]
+    found += [(i, "other words " * 200, "en", "a", 0) for i in range(40)]
+    left = stored(dict(corpus_pipeline.STAGES)["mix"](spark, table(spark, found, extra=False), ""), "t").collect()
+    times = Counter(r.n_chars for r in left if r.source == "b")
+    assert times == {i: 3 for i in range(20)} | {99: 1}
