@@ -2,7 +2,7 @@
 
 Every stage works on all rows its predecessor kept and, but for the last, returns the columns of ``documents``:
 
-* language: documents without any letter (language ``und``) go.
+* language: documents without any letter (language ``und``) go, whether or not the table labels any language.
 * exact_dedup: of equal texts the document with the smallest id stays; of repeated rows one.
 * near_dedup: of every group that links of five-word shingles connect, the smallest id stays.
 * mix: a document is taken as often as its source's blocks cover it; the part of a document that is covered once more
@@ -32,7 +32,7 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    name = langid.classifier(docs, F.lit(True))
+    name = langid.classifier(docs, F.lit(True), unlearned="unlearned")
     return docs.withColumn("__language", name(F.col("text"))).where("__language.lang_pred != 'und'").select(docs.columns)
 
 

@@ -97,8 +97,11 @@ def sample(docs: DataFrame, training: Column, id_col: str, text_col: str, lang_c
     return [found[i][0] for i in order], [found[i][1] for i in order]
 
 
-def classifier(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE):
-    """A function of a text column that gives the struct (lang_pred, score), learned from ``docs``."""
+def classifier(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE, unlearned: str = "und"):
+    """A function of a text column that gives the struct (lang_pred, score), learned from ``docs``.
+
+    ``unlearned`` is the answer for texts with letters if no language was learned.
+    """
     texts, langs = sample(docs, training, id_col, text_col, lang_col, most)
     model = docs.sparkSession.sparkContext.broadcast(learn(texts, langs))  # columns x languages
 
@@ -109,8 +112,11 @@ def classifier(docs: DataFrame, training: Column, id_col: str = "doc_id", text_c
             pred, score = ["und"] * len(texts), [0.0] * len(texts)
             for first in range(0, len(texts), 128):
                 rows = [(i, *presence(t)) for i, t in enumerate(texts[first : first + 128], first) if t]
-                rows = [r for r in rows if len(r[1]) and names]
-                if not rows:
+                rows = [r for r in rows if len(r[1])]
+                if not names:
+                    for i, *_ in rows:
+                        pred[i] = unlearned
+                if not rows or not names:
                     continue
                 at = np.concatenate([r[1] for r in rows])
                 weight = np.concatenate([scale(r[2]) for r in rows])[:, None]

@@ -50,3 +50,9 @@ def test_mix_takes_rows_without_id(spark):
     left = stored(dict(corpus_pipeline.STAGES)["mix"](spark, table(spark, found, extra=False), ""), "t").collect()
     times = Counter(r.n_chars for r in left if r.source == "b")
     assert times == {i: 3 for i in range(20)} | {99: 1}
+
+
+def test_language_without_labels(spark):
+    found = [(i, t, None, s, n) for i, t, _, s, n in rows(n=30)]
+    left = dict(corpus_pipeline.STAGES)["language"](spark, table(spark, found, extra=False), "").collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(str(r) for r in found if r[1] and any(c.isalpha() for c in r[1]))
