@@ -25,10 +25,11 @@ from positdb.llm.queries import tokenizer_path
 BROADCAST_ROWS = 1_000_000
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``dropped``, broadcast only if their number is within the bound."""
-    dropped = stored(dropped.select("doc_id").distinct(), "dropped")
-    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").select(docs.columns)
+def without(docs: DataFrame, dropped: DataFrame, *keys: str) -> DataFrame:
+    """``docs`` without the ids (or ``keys``) of ``dropped``, broadcast only if their number is within the bound."""
+    keys = keys or ("doc_id",)
+    dropped = stored(dropped.select(*keys).distinct(), "dropped")
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, list(keys), "left_anti").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     flags = stored(exactdedup.exact_dedup(docs, keep="smallest"), "flags")
     repeated = stored(flags.groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id"), "repeated")
-    left = without(docs, flags.where("not kept"))
+    # An id may stand for several texts, of which only some are copies.
+    digest = F.lower(F.hex(exactdedup.digest_of(F.coalesce("text", F.lit("")))))
+    copies = flags.where("not kept").withColumnRenamed("text_sha256", "__sha256")
+    left = without(docs.withColumn("__sha256", digest), copies, "doc_id", "__sha256").select(docs.columns)
     if repeated.isEmpty():
         return left
     again = left.join(repeated.distinct(), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])

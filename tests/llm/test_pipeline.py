@@ -56,3 +56,10 @@ def test_language_without_labels(spark):
     found = [(i, t, None, s, n) for i, t, _, s, n in rows(n=30)]
     left = dict(corpus_pipeline.STAGES)["language"](spark, table(spark, found, extra=False), "").collect()
     assert sorted(map(str, map(tuple, left))) == sorted(str(r) for r in found if r[1] and any(c.isalpha() for c in r[1]))
+
+
+def test_copies_go_by_id_and_text(spark):
+    """Of an id with two texts only the one that is a copy goes."""
+    found = [(1, "one text", "en", "a", 0), (2, "one text", "en", "a", 0), (2, "a text of its own", "en", "a", 0), (3, "third", "en", "a", 0), (3, "third", "en", "a", 0)]
+    left = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, table(spark, found, extra=False), "").collect()
+    assert sorted(map(tuple, left)) == sorted({r for r in found if r[:2] != (2, "one text")})
