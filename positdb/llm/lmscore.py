@@ -6,12 +6,14 @@ history's probability, down to add-one word probabilities; all probabilities of
 
 * Every n-gram of the training texts is an arc, whatever its count, so the model grows with the corpus.  ``Automaton`` is
   the model in memory; ``score`` gives the same values with its arcs and failure arcs dealt out by history.
-* Texts are written once as chunks of some ``CHUNK`` bytes: ids local to the chunk, and its distinct words.
+* Texts are written once as chunks of some ``CHUNK`` bytes: words' numbers in the chunk, and its distinct words' hashes.
 * Three rounds follow.  A chunk asks for each of its distinct words, pairs and triples once, with its own training
-  counts; what adds the counts up answers every chunk.  Words: a join with the table of word counts.  Pairs are dealt by
-  their first word, triples by their history, to tasks of some ``DEALT`` tokens, as compressed arrays.
+  counts; a task adds the counts up and answers every chunk.  Words are dealt by themselves, pairs by their first word,
+  triples by their history, to tasks of some ``DEALT`` tokens, as compressed arrays.
+* What only one chunk holds is counted there: of such n-grams, sums a history are sent on for its failure arc.
 * Pairs of a first word with more than ``HOT`` occurrences are dealt by both words; each task gives its part of the
-  failure arc's sums, a row a word and task, at most (tokens / HOT) * (1 + tokens / DEALT) rows, which are broadcast.
+  failure arc's sums, a row a word and task, at most (tokens / HOT) * (1 + tokens / DEALT) rows, summed to tokens / HOT
+  rows, which are broadcast.
 * The chunk then adds up its texts' logarithms.
 
 Words, pairs and triples are told apart by 64-bit hashes in the rounds.  Null texts are empty: one end token.  Repeated
@@ -50,15 +52,19 @@ class Local(dict):
 
 
 def packed(*arrays: np.ndarray) -> bytes:
+    """Compressed, whole numbers (none is negative) in as few bytes as hold them."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    small = [x.astype(np.min_scalar_type(x.max())) if x.dtype.kind in "iu" and len(x) else x for x in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(small, protocol=5))
 
 
-def unpacked(data: bytes) -> tuple:
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """Whole numbers of up to four bytes and flags as int64, hashes as uint64."""
     import zstandard
 
-    return pickle.loads(zstandard.decompress(bytes(data)))
+    found = pickle.loads(zstandard.decompress(bytes(data)))
+    return [x.astype(np.int64) if x.dtype.kind in "iu" and x.dtype.itemsize < 8 else x for x in found]
 
 
 def lists(found: list[pa.Array]) -> pa.Array:
@@ -67,14 +73,14 @@ def lists(found: list[pa.Array]) -> pa.Array:
 
 
 def chunks(docs: DataFrame, kind: str) -> DataFrame:
-    """chunk, ids, texts (lengths, training, local ids), words and their training counts, over ``docs`` (id, text, t)."""
+    """chunk, ids, data (lengths, training, words' numbers; hashes and training counts of words), tokens and texts learned from."""
 
     def make():
         partition, made = TaskContext.get().partitionId(), 0
 
         def work(batch):
             nonlocal made
-            out: dict[str, list] = {k: [] for k in ("chunk", "texts", "words", "counts")}
+            out: dict[str, list] = {k: [] for k in ("chunk", "ids", "data", "tokens", "texts")}
             texts, training = utf8(batch, "text"), np.array(batch.column("t").to_pylist(), dtype=bool)
             cuts, held = [0], 0
             for i, t in enumerate(texts, 1):
@@ -92,17 +98,17 @@ def chunks(docs: DataFrame, kind: str) -> DataFrame:
                     parts[-1][1:-1] = np.fromiter(map(local.__getitem__, tokens), dtype=np.int32, count=len(tokens))
                 lengths, seq = np.array([len(p) for p in parts], dtype=np.int32), np.concatenate(parts)
                 counts = np.bincount(seq[np.repeat(training[a:b], lengths)], minlength=len(local) + 1)[1:]
+                codes = pd.util.hash_array(np.array(list(local), dtype=object), categorize=False)
                 out["chunk"].append((partition << 36) + made)
-                out["texts"].append(packed(lengths, training[a:b], seq))
-                out["words"].append(pa.array(local.keys(), type=pa.binary()))
-                out["counts"].append(counts)
+                out["ids"].append(batch.column("id").slice(a, b - a))
+                out["data"].append(packed(lengths, training[a:b], seq, codes, counts))
+                out["tokens"].append(int(counts.sum())), out["texts"].append(int(counts[0]))
                 made += 1
-            ids = lists([batch.column("id").slice(a, b - a) for a, b in zip(cuts, cuts[1:])])
-            return out | {"ids": ids, "words": lists(out["words"]), "counts": lists([pa.array(c) for c in out["counts"]])}
+            return out | {"ids": lists(out["ids"])}
 
         return work
 
-    return map_arrow(docs, make, f"chunk long, ids array<{kind}>, texts binary, words array<binary>, counts array<long>")
+    return map_arrow(docs, make, f"chunk long, ids array<{kind}>, data binary, tokens long, texts long")
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,91 +118,162 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def by_bucket(bucket: np.ndarray):
-    """(bucket, positions) for each bucket, positions ascending."""
+def by_bucket(bucket: np.ndarray) -> dict[int, np.ndarray]:
+    """Positions in each bucket, ascending."""
     order = np.argsort(bucket, kind="stable")
     found, first = np.unique(bucket[order], return_index=True)
-    return zip(found.tolist(), np.split(order, first[1:]))
+    return dict(zip(found.tolist(), np.split(order, first[1:])))
+
+
+def backoff(arcs: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """What the arcs leave of a history seen so often, over what its arcs' words leave of the shorter history."""
+    left = np.maximum(1e-12, DISCOUNT * arcs / np.maximum(seen, 1)) / np.maximum(1e-12, 1 - lower)
+    return np.where(arcs > 0, left, 1.0)
+
+
+class Level:
+    """A chunk's n-grams of one length, by history.
+
+    Histories have a code, how often training ``seen`` them and ``of``, the divisor of their arcs' shorter probability;
+    n-grams have the ``history``'s number (ascending), a code, the chunk's training ``count`` and ``num``, the shorter
+    probability times ``of``, less ``shift``.  ``alone`` n-grams and histories need no other chunk's counts.
+    """
+
+    def __init__(self, codes, seen, of, history, code, count, num, shift: float, alone_history, alone, buckets: int, hot: float = math.inf) -> None:
+        self.codes, self.seen, self.of, self.history, self.code, self.count, self.num, self.hot = codes, seen, of, history, code, count, num, hot
+        self.alone_history = alone_history | (seen == 0)
+        self.alone = alone | (num == 0) | self.alone_history[history]
+        own, n = self.alone & (count > 0), len(codes)
+        self.arcs = np.bincount(history[own], minlength=n)
+        self.lower = np.bincount(history[own], weights=(num[own] + shift) / of[history[own]], minlength=n)
+        self.needed = np.bincount(history[self.alone & (count == 0)], minlength=n) > 0
+        asked, open_ = np.flatnonzero(~self.alone), np.flatnonzero(~self.alone_history)
+        self.home = codes % np.uint64(buckets)
+        key = self.home[history[asked]]
+        spread = seen[history[asked]] > hot
+        key[spread] = pair(codes[history[asked[spread]]], code[asked[spread]]) % np.uint64(buckets)
+        grams, homes, nothing = by_bucket(key), by_bucket(self.home[open_]), np.zeros(0, dtype=np.int64)
+        #: bucket: (histories, n-grams)
+        self.parts = {}
+        for b in sorted({*grams, *homes}):
+            at = asked[grams.get(b, nothing)]
+            self.parts[b] = (np.union1d(history[at], open_[homes.get(b, nothing)]), at)
+
+    def asked(self):
+        for b, (rows, at) in self.parts.items():
+            runs = np.bincount(np.searchsorted(rows, self.history[at]), minlength=len(rows))
+            home = self.home[rows] == b
+            yield b, packed(self.codes[rows], self.seen[rows], self.of[rows], runs, self.arcs[rows] * home, self.lower[rows] * home, self.needed[rows], self.code[at], self.count[at], self.num[at])
+
+    def take(self, answers: dict[int, bytes]) -> None:
+        """Sets all training counts as ``total``, the histories' ``weight`` (0 where no n-gram takes it) and ``alone``."""
+        self.total, self.weight = self.count.copy(), np.log10(backoff(self.arcs, self.seen, self.lower))
+        for b, (rows, at) in self.parts.items():
+            self.total[at], self.alone[at], self.weight[rows] = unpacked(answers[b])
+
+
+def answers(found: pd.DataFrame, shift: float, hot: float = math.inf) -> pd.DataFrame:
+    """Answers to what levels ask, and for hot histories the sums of this task."""
+    asked = [unpacked(x) for x in found["asked"]]
+    row_ends, ends = np.cumsum([len(x[0]) for x in asked])[:-1], np.cumsum([len(x[7]) for x in asked])[:-1]
+    codes, seen, of, runs, arcs, lower, needed, code, count, num = (np.concatenate(x) for x in zip(*asked))
+    codes, code = codes.astype(np.uint64), code.astype(np.uint64)
+    names, at = np.unique(codes, return_inverse=True)
+    row = np.repeat(np.arange(len(codes)), runs)
+    _, first, gram = np.unique(pair(codes[row], code), return_index=True, return_inverse=True)
+    total, alone = np.bincount(gram, weights=count).astype(np.int64)[gram], (np.bincount(gram) == 1)[gram]
+    kept = first[total[first] > 0]
+    arcs = np.bincount(at, weights=arcs, minlength=len(names)) + np.bincount(at[row[kept]], minlength=len(names))
+    lower = np.bincount(at, weights=lower, minlength=len(names)) + np.bincount(at[row[kept]], weights=(num[kept] + shift) / of[row[kept]], minlength=len(names))
+    often = np.zeros(len(names))
+    often[at] = seen
+    weight = np.log10(backoff(arcs, often, lower))[at]
+    weight[~needed.astype(bool) & (np.bincount(row, weights=total == 0, minlength=len(codes)) == 0)] = 0.0
+    rows = [(c, packed(*x), None, None, None) for c, *x in zip(found["chunk"], np.split(total, ends), np.split(alone, ends), np.split(weight, row_ends))]
+    rows += [(None, None, int(names[i : i + 1].view(np.int64)[0]), float(arcs[i]), float(lower[i])) for i in np.flatnonzero(often > hot)]
+    # As objects first: codes have more digits than a float.
+    out = pd.DataFrame(rows, columns=["chunk", "answer", "word", "arcs", "lower"], dtype=object)
+    return out.astype({"chunk": "Int64", "word": "Int64", "arcs": float, "lower": float}).assign(bucket=int(found["bucket"].iloc[0]))
+
+
+def answers_of_words(found: pd.DataFrame) -> pd.DataFrame:
+    """Training counts of words, and whether only one chunk has them; ``word``: how many words were learned."""
+    asked = [unpacked(x) for x in found["asked"]]
+    codes, counts = (np.concatenate(x) for x in zip(*asked))
+    names, of = np.unique(codes.astype(np.uint64), return_inverse=True)
+    total, alone, ends = np.bincount(of, weights=counts).astype(np.int64), np.bincount(of) == 1, np.cumsum([len(x[0]) for x in asked])[:-1]
+    rows = [(c, packed(*x), None) for c, *x in zip(found["chunk"], np.split(total[of], ends), np.split(alone[of], ends))]
+    out = pd.DataFrame([*rows, (None, None, int((total > 0).sum()))], columns=["chunk", "answer", "word"], dtype=object)
+    return out.astype({"chunk": "Int64", "word": "Int64"}).assign(bucket=int(found["bucket"].iloc[0]), arcs=0.0, lower=0.0)
 
 
 class Chunk:
-    """Distinct pairs and triples of a chunk; ``c1`` are the words' training counts."""
-
-    def __init__(self, texts: bytes, codes: np.ndarray, at: np.ndarray, counts: np.ndarray, begins: int) -> None:
-        self.lengths, training, seq = unpacked(texts)
-        self.codes = np.concatenate([[BEGIN], codes.astype(np.int64).view(np.uint64)])
-        self.c1 = np.zeros(len(self.codes), dtype=np.int64)
-        self.c1[0], self.c1[at + 1] = begins, counts
-        self.seq, n = seq.astype(np.int64), len(self.codes)
-        self.text = np.repeat(np.arange(len(self.lengths)), self.lengths)
+    """Texts of a chunk, and what the rounds answered: ``given`` has the answers by round and bucket."""
+
+    def __init__(self, data: bytes, model: tuple, given: list[dict[int, bytes]], spread: dict) -> None:
+        begins, self.divisor, buckets, hot = model
+        self.lengths, training, self.seq, codes, self.counts = unpacked(data)
+        codes = codes.astype(np.uint64)
+        self.words, self.codes = by_bucket(codes % np.uint64(buckets)), np.concatenate([[BEGIN], codes])
+        if not given:
+            return
+        self.c1, alone = np.zeros(len(self.codes), dtype=np.int64), np.zeros(len(self.codes), dtype=bool)
+        self.c1[0] = begins
+        for b, at in self.words.items():
+            self.c1[at + 1], alone[at + 1] = unpacked(given[0][b])
+        n, self.text = len(self.codes), np.repeat(np.arange(len(self.lengths)), self.lengths)
         learned = training[self.text].astype(float)
         second = np.flatnonzero(self.seq) - 1  # positions of a pair's first word
         key, self.pair_of = np.unique(self.seq[second] * n + self.seq[second + 1], return_inverse=True)
-        self.h, self.w = key // n, key % n
-        self.pairs = np.bincount(self.pair_of, weights=learned[second], minlength=len(key)).astype(np.int64)
+        h, w = key // n, key % n
+        count = np.bincount(self.pair_of, weights=learned[second], minlength=len(key)).astype(np.int64)
+        self.pairs = Level(self.codes, self.c1, np.full(n, self.divisor), h, self.codes[w], count, self.c1[w], 1.0, alone, alone[h] | alone[w], buckets, hot)
+        # A word that was not learned still has the root's probability; its pairs were not seen.
         starts = np.flatnonzero(self.seq[second] == 0)
-        self.first_pairs, self.first_texts = self.pair_of[starts], self.text[second[starts]]
+        self.first_pairs, self.first_texts, self.w = self.pair_of[starts], self.text[second[starts]], w
+        if len(given) < 2:
+            return
+        self.pairs.take(given[1])
+        common = np.flatnonzero((self.c1 > hot) & ~self.pairs.alone_history)
+        sums = np.array([spread.get(c, (0.0, 0.0)) for c in self.codes[common].view(np.int64).tolist()]).reshape(-1, 2)
+        self.pairs.weight[common] = np.log10(backoff(sums[:, 0], self.c1[common], sums[:, 1]))
         inner = np.flatnonzero(self.seq[second] != 0)  # places in ``second`` whose pair ends a triple
         key, first, self.triple_of = np.unique(self.pair_of[inner - 1] * n + self.seq[second[inner] + 1], return_index=True, return_inverse=True)
-        self.history, self.last, self.suffix = key // n, key % n, self.pair_of[inner[first]]
-        self.triples = np.bincount(self.triple_of, weights=learned[second[inner]], minlength=len(key)).astype(np.int64)
+        history, last, self.suffix = key // n, key % n, self.pair_of[inner[first]]
+        count = np.bincount(self.triple_of, weights=learned[second[inner]], minlength=len(key)).astype(np.int64)
+        total, alone = self.pairs.total, self.pairs.alone
+        codes = pair(self.codes[h], self.codes[w])
+        self.triples = Level(codes, total, np.maximum(self.c1[w], 1), history, self.codes[last], count, total[self.suffix], -DISCOUNT, alone, alone[history] | alone[self.suffix], buckets)
         self.triple_texts = self.text[second[inner]]
+        if len(given) > 2:
+            self.triples.take(given[2])
 
-    def pair_buckets(self, buckets: int, hot: int):
-        h = self.codes[self.h]
-        key = np.where(self.c1[self.h] > hot, pair(h, self.codes[self.w]), h)
-        return by_bucket(key % np.uint64(buckets))
-
-    def triple_buckets(self, buckets: int):
-        self.histories = pair(self.codes[self.h], self.codes[self.w])
-        return by_bucket(self.histories[self.history] % np.uint64(buckets))
-
+    def asked(self, done: int):
+        """(bucket, asked) of the round after ``done`` ones."""
+        if not done:
+            return [(b, packed(self.codes[at + 1], self.counts[at])) for b, at in self.words.items()]
+        return (self.pairs if done == 1 else self.triples).asked()
 
-def answers_of_pairs(found: pd.DataFrame, hot: int, divisor: int) -> pd.DataFrame:
-    """For each chunk counts and failure arcs of its pairs; for hot first words, the sums of this task."""
-    asked = [unpacked(x) for x in found["asked"]]
-    ends = np.cumsum([len(x[0]) for x in asked])[:-1]
-    h, w, count, c1h, c1w = (np.concatenate(x) for x in zip(*asked))
-    _, first, of = np.unique(pair(h, w), return_index=True, return_inverse=True)
-    c2 = np.bincount(of, weights=count).astype(np.int64)
-    names, at = np.unique(h[first], return_inverse=True)
-    arcs = np.bincount(at, weights=c2 > 0)
-    lower = np.bincount(at, weights=np.where(c2 > 0, (c1w[first] + 1.0) / divisor, 0.0))
-    seen = np.zeros(len(names))
-    seen[at] = c1h[first]
-    weight = np.log10(backoff(arcs, seen, lower))
-    rows = [(c, packed(x, y), None, None, None) for c, x, y in zip(found["chunk"], np.split(c2[of], ends), np.split(weight[at[of]], ends))]
-    rows += [(None, None, int(names[i : i + 1].view(np.int64)[0]), float(arcs[i]), float(lower[i])) for i in np.flatnonzero(seen > hot)]
-    # As objects first: codes have more digits than a float.
-    out = pd.DataFrame(rows, columns=["chunk", "answer", "word", "arcs", "lower"], dtype=object)
-    return out.astype({"chunk": "Int64", "word": "Int64", "arcs": float, "lower": float}).assign(bucket=int(found["bucket"].iloc[0]))
+    def results(self) -> dict[str, np.ndarray]:
+        root = np.log10((self.c1 + 1.0) / self.divisor)
 
+        def logs(level: Level, shorter: np.ndarray) -> np.ndarray:
+            arc = np.log10(np.maximum(level.total - DISCOUNT, 1e-9) / np.maximum(level.seen[level.history], 1))
+            return np.where(level.total > 0, arc, level.weight[level.history] + shorter)
 
-def answers_of_triples(found: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk counts of its triples and failure arcs of their histories."""
-    asked = [unpacked(x) for x in found["asked"]]
-    ends, history_ends = np.cumsum([len(x[4]) for x in asked])[:-1], np.cumsum([len(x[0]) for x in asked])[:-1]
-    history, runs, c2h, c1h, triple, count, c2w = (np.concatenate(x) for x in zip(*asked))
-    names, at = np.unique(history, return_inverse=True)
-    row = np.repeat(np.arange(len(history)), runs)
-    _, first, of = np.unique(triple, return_index=True, return_inverse=True)
-    c3 = np.bincount(of, weights=count).astype(np.int64)
-    kept = first[c3 > 0]
-    arcs = np.bincount(at[row[kept]], minlength=len(names))
-    lower = np.bincount(at[row[kept]], weights=(c2w[kept] - DISCOUNT) / c1h[row[kept]], minlength=len(names))
-    seen = np.zeros(len(names))
-    seen[at] = c2h
-    weight = np.log10(backoff(arcs, seen, lower))[at]
-    # Only a triple that was not seen takes the failure arc.
-    weight[np.bincount(row, weights=c3[of] == 0, minlength=len(history)) == 0] = 0.0
-    rows = [(c, packed(x, y)) for c, x, y in zip(found["chunk"], np.split(c3[of], ends), np.split(weight, history_ends))]
-    return pd.DataFrame(rows, columns=["chunk", "answer"]).assign(bucket=int(found["bucket"].iloc[0]))
+        of_pair = logs(self.pairs, root[self.w])
+        of_triple = logs(self.triples, of_pair[self.suffix])
+        tokens = self.seq != 0
 
+        def add(at, values):
+            return np.bincount(at, weights=values, minlength=len(self.lengths))
 
-def backoff(arcs: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """What the arcs leave of a history seen so often, over what its arcs' words leave of the shorter history."""
-    left = np.maximum(1e-12, DISCOUNT * arcs / np.maximum(seen, 1)) / np.maximum(1e-12, 1 - lower)
-    return np.where(arcs > 0, left, 1.0)
+        return {
+            "n_tokens": self.lengths - 1,
+            "n_known": add(self.text[tokens], self.c1[self.seq[tokens]] > 0).astype(np.int64),
+            "base": add(self.text[tokens], root[self.seq[tokens]]),
+            "score": add(self.triple_texts, of_triple[self.triple_of]) + add(self.first_texts, of_pair[self.first_pairs]),
+        }
 
 
 class Automaton:
@@ -274,103 +351,41 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     slim = slim.withColumn("t", F.coalesce(training, F.lit(False)))
     kind = slim.schema["id"].dataType.simpleString()
     written = stored(chunks(slim, kind), "chunks")
-    words = written.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c"))
-    words = stored(words.where("c > 0"), "words")
-    sums = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends")).first()
-    total, kinds, begins = int(sums.n or 0), int(sums.v), int(sums.ends or 0)
-    divisor, buckets = total + kinds + 1, max(1, math.ceil(total / dealt))
-
-    # Round of words.
-    asked = written.select("chunk", F.posexplode("words").alias("at", "word")).join(words, "word")
-    known = asked.groupBy("chunk").agg(F.collect_list(F.struct("at", "c")).alias("known"))
-    codes = F.transform("words", lambda w: F.xxhash64(w)).alias("codes")
-    coded = stored(written.select("chunk", "ids", "texts", codes).join(known, "chunk", "left"), "coded")
-
-    def chunk_of(batch, i: int) -> Chunk:
-        given = batch.column("known")[i]
-        at, c = (given.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)) if given.is_valid else (np.zeros(0, dtype=np.int64),) * 2
-        return Chunk(batch.column("texts")[i].as_py(), batch.column("codes")[i].values.to_numpy(zero_copy_only=False), at, c, begins)
-
-    # Round of pairs.
-    def ask_pairs():
-        def work(batch):
-            out: dict[str, list] = {"bucket": [], "chunk": [], "asked": []}
-            for i, chunk in enumerate(batch.column("chunk").to_pylist()):
-                x = chunk_of(batch, i)
-                for b, at in x.pair_buckets(buckets, hot):
-                    h, w = x.h[at], x.w[at]
-                    out["bucket"].append(b), out["chunk"].append(chunk)
-                    out["asked"].append(packed(x.codes[h], x.codes[w], x.pairs[at], x.c1[h], x.c1[w]))
-            return out
+    sums = written.agg(F.sum("tokens").alias("n"), F.sum("texts").alias("ends")).first()
+    total, begins = int(sums.n or 0), int(sums.ends or 0)
+    buckets, divisor, spread = max(1, math.ceil(total / dealt)), 1, {}
+    tables: list[DataFrame] = []
+    reply = "bucket long, chunk long, answer binary, word long, arcs double, lower double"
+
+    def given(*columns: str) -> DataFrame:
+        """Chunks with the answers so far."""
+        out = written.select("chunk", "data", *columns)
+        for k, t in enumerate(tables):
+            found = t.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias(f"given{k}"))
+            out = out.join(found, "chunk", "left")
+        return out
+
+    def mapped(make_rows, *columns: str, schema: str) -> DataFrame:
+        done, model = len(tables), (begins, divisor, buckets, hot)
+        known = docs.sparkSession.sparkContext.broadcast(spread)
 
-        return work
-
-    asked = map_arrow(coded.select("chunk", "texts", "codes", "known"), ask_pairs, "bucket long, chunk long, asked binary", most=1)
-    found = asked.groupBy("bucket").applyInPandas(lambda rows: answers_of_pairs(rows, hot, divisor), "bucket long, chunk long, answer binary, word long, arcs double, lower double")
-    found = stored(found, "pairs")
-    pairs = found.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("pairs"))
-    parts = found.where("word is not null").groupBy("word").agg(F.sum("arcs").alias("arcs"), F.sum("lower").alias("lower")).collect()
-    spread = docs.sparkSession.sparkContext.broadcast({r.word: (r.arcs, r.lower) for r in parts})
-
-    def with_pairs(batch, i: int) -> Chunk:
-        """The chunk with ``c2`` and ``weight`` (of the first word's failure arc) of its pairs."""
-        x = chunk_of(batch, i)
-        x.c2, x.weight = np.zeros(len(x.h), dtype=np.int64), np.zeros(len(x.h))
-        answers = {r["bucket"]: r["answer"] for r in batch.column("pairs")[i].as_py()}
-        for b, at in x.pair_buckets(buckets, hot):
-            x.c2[at], x.weight[at] = unpacked(answers[b])
-        common = np.flatnonzero(x.c1 > hot)
-        given = [spread.value.get(c, (0.0, 0.0)) for c in x.codes[common].view(np.int64).tolist()]
-        by_word = np.zeros(len(x.c1))
-        by_word[common] = np.log10(backoff(np.array([a for a, _ in given]), x.c1[common], np.array([b for _, b in given])))
-        x.weight = np.where(x.c1[x.h] > hot, by_word[x.h], x.weight)
-        return x
-
-    # Round of triples.
-    def ask_triples():
-        def work(batch):
-            out: dict[str, list] = {"bucket": [], "chunk": [], "asked": []}
-            for i, chunk in enumerate(batch.column("chunk").to_pylist()):
-                x = with_pairs(batch, i)
-                for b, at in x.triple_buckets(buckets):
-                    history, runs = np.unique(x.history[at], return_counts=True)
-                    triple = pair(x.histories[x.history[at]], x.codes[x.last[at]])
-                    out["bucket"].append(b), out["chunk"].append(chunk)
-                    out["asked"].append(packed(x.histories[history], runs, x.c2[history], x.c1[x.w[history]], triple, x.triples[at], x.c2[x.suffix[at]]))
-            return out
-
-        return work
-
-    paired = coded.join(pairs, "chunk")
-    asked = map_arrow(paired.select("chunk", "texts", "codes", "known", "pairs"), ask_triples, "bucket long, chunk long, asked binary", most=1)
-    found = stored(asked.groupBy("bucket").applyInPandas(answers_of_triples, "bucket long, chunk long, answer binary"), "triples")
-    triples = found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("triples"))
-
-    def add_up():
         def work(batch):
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "score")}
-            for i in range(batch.num_rows):
-                x = with_pairs(batch, i)
-                given = batch.column("triples")[i]
-                answers = {r["bucket"]: r["answer"] for r in given.as_py()} if given.is_valid else {}
-                c3, weight = np.zeros(len(x.history), dtype=np.int64), np.zeros(len(x.history))
-                for b, at in x.triple_buckets(buckets):
-                    c3[at], failure = unpacked(answers[b])
-                    _, of = np.unique(x.history[at], return_inverse=True)
-                    weight[at] = failure[of]
-                root = np.log10((x.c1 + 1.0) / divisor)
-                of_pair = np.where(x.c2 > 0, np.log10(np.maximum(x.c2 - DISCOUNT, 1e-9) / np.maximum(x.c1[x.h], 1)), x.weight + root[x.w])
-                of_triple = np.where(c3 > 0, np.log10(np.maximum(c3 - DISCOUNT, 1e-9) / np.maximum(x.c2[x.history], 1)), weight + of_pair[x.suffix])
-                n, tokens = len(x.lengths), x.seq != 0
-                out["n_tokens"].append(x.lengths - 1)
-                out["n_known"].append(np.bincount(x.text[tokens], weights=x.c1[x.seq[tokens]] > 0, minlength=n))
-                out["base"].append(np.bincount(x.text[tokens], weights=root[x.seq[tokens]], minlength=n))
-                sums = np.bincount(x.triple_texts, weights=of_triple[x.triple_of], minlength=n)
-                out["score"].append(sums + np.bincount(x.first_texts, weights=of_pair[x.first_pairs], minlength=n))
-            columns = {k: np.concatenate(v) if v else np.zeros(0) for k, v in out.items()}
-            return columns | {"n_known": columns["n_known"].astype(np.int64), "id": batch.column("ids").flatten()}
-
-        return work
-
-    scored = map_arrow(paired.join(triples, "chunk", "left"), add_up, f"id {kind}, n_tokens long, n_known long, base double, score double", most=1)
+            answers = [{r["bucket"]: r["answer"] for r in batch.column(f"given{k}")[0].as_py() or []} for k in range(done)]
+            return make_rows(batch, Chunk(batch.column("data")[0].as_py(), model, answers, known.value))
+
+        return map_arrow(given(*columns), lambda: work, schema, most=1)
+
+    def ask(batch, x: Chunk) -> dict:
+        found = list(x.asked(len_done))
+        return {"bucket": [b for b, _ in found], "chunk": batch.column("chunk").to_pylist() * len(found), "asked": [a for _, a in found]}
+
+    for len_done, (tag, answer) in enumerate((("words", answers_of_words), ("pairs", lambda rows: answers(rows, 1.0, hot)), ("triples", lambda rows: answers(rows, -DISCOUNT)))):
+        asked = mapped(ask, schema="bucket long, chunk long, asked binary")
+        tables.append(stored(asked.groupBy("bucket").applyInPandas(answer, reply), tag))
+        if tag == "words":
+            divisor = total + int(tables[0].agg(F.sum("word").alias("v")).first().v or 0) + 1
+        if tag == "pairs":
+            parts = tables[1].where("word is not null").groupBy("word").agg(F.sum("arcs").alias("arcs"), F.sum("lower").alias("lower"))
+            spread = {r.word: (r.arcs, r.lower) for r in parts.collect()}
+    scored = mapped(lambda batch, x: x.results() | {"id": batch.column("ids").flatten()}, "ids", schema=f"id {kind}, n_tokens long, n_known long, base double, score double")
     return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
