@@ -16,7 +16,7 @@ history's probability, down to add-one word probabilities; all probabilities of
   rows, which are broadcast.
 * The chunk then adds up its texts' logarithms.
 
-Words, pairs and triples are told apart by 64-bit hashes in the rounds.  Null texts are empty: one end token.  Repeated
+Words are numbered in their round, small numbers for frequent ones; they, pairs and triples are told apart by 64-bit hashes.  Null texts are empty: one end token.  Repeated
 rows are scored each.  Without training texts N and V are 0 and every token has probability 1.  An empty table gives no
 rows.  Other columns are ignored.
 """
@@ -39,8 +39,8 @@ DISCOUNT = 0.75
 END = b"\n"
 #: Bytes of text a chunk, tokens a task of the rounds, occurrences from which a first word's pairs are spread.
 CHUNK, DEALT, HOT = 1 << 22, 1_500_000, 500_000
-#: Code of the begin.
-BEGIN = np.uint64(0x5BD1E995C6A4A793)
+#: Number of the begin; words' numbers are larger.
+BEGIN = np.uint64(0)
 
 
 class Local(dict):
@@ -145,7 +145,8 @@ class Level:
         self.alone = alone | (num == 0) | self.alone_history[history]
         own, n = self.alone & (count > 0), len(codes)
         self.arcs = np.bincount(history[own], minlength=n)
-        self.lower = np.bincount(history[own], weights=(num[own] + shift) / of[history[own]], minlength=n)
+        self.nums = np.bincount(history[own], weights=num[own], minlength=n).astype(np.int64)
+        self.lower = (self.nums + shift * self.arcs) / of
         self.needed = np.bincount(history[self.alone & (count == 0)], minlength=n) > 0
         asked, open_ = np.flatnonzero(~self.alone), np.flatnonzero(~self.alone_history)
         self.home = codes % np.uint64(buckets)
@@ -163,7 +164,7 @@ class Level:
         for b, (rows, at) in self.parts.items():
             runs = np.bincount(np.searchsorted(rows, self.history[at]), minlength=len(rows))
             home = self.home[rows] == b
-            yield b, packed(self.codes[rows], self.seen[rows], self.of[rows], runs, self.arcs[rows] * home, self.lower[rows] * home, self.needed[rows], self.code[at], self.count[at], self.num[at])
+            yield b, packed(self.codes[rows], self.seen[rows], self.of[rows], runs, self.arcs[rows] * home, self.nums[rows] * home, self.needed[rows], self.code[at], self.count[at], self.num[at])
 
     def take(self, answers: dict[int, bytes]) -> None:
         """Sets all training counts as ``total``, the histories' ``weight`` (0 where no n-gram takes it) and ``alone``."""
@@ -176,15 +177,16 @@ def answers(found: pd.DataFrame, shift: float, hot: float = math.inf) -> pd.Data
     """Answers to what levels ask, and for hot histories the sums of this task."""
     asked = [unpacked(x) for x in found["asked"]]
     row_ends, ends = np.cumsum([len(x[0]) for x in asked])[:-1], np.cumsum([len(x[7]) for x in asked])[:-1]
-    codes, seen, of, runs, arcs, lower, needed, code, count, num = (np.concatenate(x) for x in zip(*asked))
+    codes, seen, of, runs, arcs, nums, needed, code, count, num = (np.concatenate(x) for x in zip(*asked))
     codes, code = codes.astype(np.uint64), code.astype(np.uint64)
     names, at = np.unique(codes, return_inverse=True)
     row = np.repeat(np.arange(len(codes)), runs)
     _, first, gram = np.unique(pair(codes[row], code), return_index=True, return_inverse=True)
     total, alone = np.bincount(gram, weights=count).astype(np.int64)[gram], (np.bincount(gram) == 1)[gram]
     kept = first[total[first] > 0]
+    lower = np.bincount(at, weights=(nums + shift * arcs) / of, minlength=len(names))
     arcs = np.bincount(at, weights=arcs, minlength=len(names)) + np.bincount(at[row[kept]], minlength=len(names))
-    lower = np.bincount(at, weights=lower, minlength=len(names)) + np.bincount(at[row[kept]], weights=(num[kept] + shift) / of[row[kept]], minlength=len(names))
+    lower += np.bincount(at[row[kept]], weights=(num[kept] + shift) / of[row[kept]], minlength=len(names))
     often = np.zeros(len(names))
     often[at] = seen
     weight = np.log10(backoff(arcs, often, lower))[at]
@@ -196,13 +198,19 @@ def answers(found: pd.DataFrame, shift: float, hot: float = math.inf) -> pd.Data
     return out.astype({"chunk": "Int64", "word": "Int64", "arcs": float, "lower": float}).assign(bucket=int(found["bucket"].iloc[0]))
 
 
-def answers_of_words(found: pd.DataFrame) -> pd.DataFrame:
-    """Training counts of words, and whether only one chunk has them; ``word``: how many words were learned."""
+def answers_of_words(found: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Training counts of words, whether only one chunk has them, and else their numbers, small ones for frequent words.
+
+    ``word`` is how many words were learned.
+    """
     asked = [unpacked(x) for x in found["asked"]]
     codes, counts = (np.concatenate(x) for x in zip(*asked))
     names, of = np.unique(codes.astype(np.uint64), return_inverse=True)
     total, alone, ends = np.bincount(of, weights=counts).astype(np.int64), np.bincount(of) == 1, np.cumsum([len(x[0]) for x in asked])[:-1]
-    rows = [(c, packed(*x), None) for c, *x in zip(found["chunk"], np.split(total[of], ends), np.split(alone[of], ends))]
+    number = np.empty(len(names), dtype=np.int64)
+    number[np.argsort(-total, kind="stable")] = np.arange(1, len(names) + 1)
+    number = np.where(alone, 0, number * buckets + int(found["bucket"].iloc[0]))
+    rows = [(c, packed(*x), None) for c, *x in zip(found["chunk"], np.split(total[of], ends), np.split(alone[of], ends), np.split(number[of], ends))]
     out = pd.DataFrame([*rows, (None, None, int((total > 0).sum()))], columns=["chunk", "answer", "word"], dtype=object)
     return out.astype({"chunk": "Int64", "word": "Int64"}).assign(bucket=int(found["bucket"].iloc[0]), arcs=0.0, lower=0.0)
 
@@ -214,13 +222,13 @@ class Chunk:
         begins, self.divisor, buckets, hot = model
         self.lengths, training, self.seq, codes, self.counts = unpacked(data)
         codes = codes.astype(np.uint64)
-        self.words, self.codes = by_bucket(codes % np.uint64(buckets)), np.concatenate([[BEGIN], codes])
+        self.words, self.codes = by_bucket(codes % np.uint64(buckets)), np.concatenate([[BEGIN], codes])  # hashes, then numbers
         if not given:
             return
         self.c1, alone = np.zeros(len(self.codes), dtype=np.int64), np.zeros(len(self.codes), dtype=bool)
         self.c1[0] = begins
         for b, at in self.words.items():
-            self.c1[at + 1], alone[at + 1] = unpacked(given[0][b])
+            self.c1[at + 1], alone[at + 1], self.codes[at + 1] = unpacked(given[0][b])
         n, self.text = len(self.codes), np.repeat(np.arange(len(self.lengths)), self.lengths)
         learned = training[self.text].astype(float)
         second = np.flatnonzero(self.seq) - 1  # positions of a pair's first word
@@ -342,6 +350,17 @@ class Automaton:
         return total
 
 
+def written_once(df: DataFrame, tag: str) -> DataFrame:
+    """``stored``, with the shuffle files of the write deleted at its end: nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return stored(df, tag)
+    finally:
+        conf.set(key, before) if before is not None else conf.unset(key)
+
+
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", dealt: int = DEALT, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -379,9 +398,9 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         found = list(x.asked(len_done))
         return {"bucket": [b for b, _ in found], "chunk": batch.column("chunk").to_pylist() * len(found), "asked": [a for _, a in found]}
 
-    for len_done, (tag, answer) in enumerate((("words", answers_of_words), ("pairs", lambda rows: answers(rows, 1.0, hot)), ("triples", lambda rows: answers(rows, -DISCOUNT)))):
+    for len_done, (tag, answer) in enumerate((("words", lambda rows: answers_of_words(rows, buckets)), ("pairs", lambda rows: answers(rows, 1.0, hot)), ("triples", lambda rows: answers(rows, -DISCOUNT)))):
         asked = mapped(ask, schema="bucket long, chunk long, asked binary")
-        tables.append(stored(asked.groupBy("bucket").applyInPandas(answer, reply), tag))
+        tables.append(written_once(asked.groupBy("bucket").applyInPandas(answer, reply), tag))
         if tag == "words":
             divisor = total + int(tables[0].agg(F.sum("word").alias("v")).first().v or 0) + 1
         if tag == "pairs":
