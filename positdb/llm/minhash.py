@@ -7,29 +7,39 @@
   coordinates are then neighbours in the permuted table, a signature is a minimum over contiguous slices.
 * Bands of ``ROWS`` coordinates become 64-bit keys.  At a similarity of 0.8 the chance that no band of ``BANDS``
   agrees is (1 - 0.8 ** ROWS) ** BANDS: two in a million.
-* Round 1 compares every member of a bucket with the bucket's smallest member.  Links are confirmed on full sets and
-  joined to components.  Buckets that are not all in one component then go on: round 2 compares their members with one
-  drawn by a hash of the bucket, which differs from band to band and so connects large groups of near copies; round 3
-  compares the members outside a bucket's most frequent component with those of other components, if their sizes
-  permit a link and they share one of the first shingles of each in an order by frequency (the prefix filter, which is
-  exact: documents that merely share a common passage part here).  After it every candidate pair is compared, known
-  to be connected or ruled out, so no link between components is lost.
-
-Bucket statistics are partial aggregates, all joins on buckets and ids are plain equi-joins that adaptive execution
-can split, and nothing but row counts reaches the driver.
+* Proposals: in every bucket that holds several components, a hub is chosen (the smallest id, later one drawn by a hash
+  of the bucket and the round), and a member outside the hub's component counts it as a partner.  A document proposes
+  one partner a round, that with most buckets in common, so a round has a pair a document at most, however large a
+  group of near copies is.  Pairs are confirmed on full sets and components are joined; rounds go on while
+  they find links.
+* What is left are documents of different components in one bucket, mostly ones that share a passage and are not
+  similar enough.  They are not paired.  ``peeled`` gives every bucket's members to the group of its heaviest
+  component and takes from all sets of a group what most of them hold: the distance of two sets is the distance of
+  what remains, X = set xor common part.  With e = |X| - |set| * (100 - p) / (100 + p), two documents are linked
+  exactly if their X have (e + e') / 2 elements in common.  So, with documents in classes by e, they share one of the
+  first |X| - t + 1 elements of X, rare ones first, t the least number that the other's class permits: an exact prefix
+  filter, in which documents that merely share a passage part, because they have to agree in what differs.  Whoever
+  has e + e' <= 0 is linked without a look.  Candidates are confirmed on full sets.  So no link between documents that
+  share a bucket is lost.
+
+Sets meet as a stream: a group's common part (or a hub's set) comes first, then the members one by one, dealt to tasks of
+some ``SALTED`` members, so a task holds one such set and one batch.  Bucket statistics are partial aggregates, all joins
+on buckets and ids are plain equi-joins that adaptive execution can split, and nothing but row counts reaches the driver.
 
 Null texts and texts without words have the empty set: size 0, linked with nothing.  With fewer words than a shingle
-takes, the whole sequence is the one shingle.  Rows that share an id are taken for one document's copies.  An empty
-table gives an empty result.  Other columns are ignored.
+takes, the whole sequence is the one shingle.  Rows that share an id are taken for one document's copies; rows without
+id are linked with nothing and stand alone.  An empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from positdb.llm.common import map_arrow, stored, utf8
@@ -39,8 +49,14 @@ ROWS, BANDS = 8, 72
 CELLS = 1 << 20
 #: Remembered words of a worker; beyond that it starts anew.
 REMEMBERED = 300_000
-#: Share of all shingle occurrences from which the prefix filter orders a shingle by its count.
-COMMON = 2.0**-18
+#: Rounds of proposals at most (what they leave is exact), and links for a proposal that make another one worth while.
+ROUNDS, WORTH = 8, 0.05
+#: Members that a set which comes before them is repeated for.
+SALTED = 64
+#: A group's shingles are told apart by frequency from this share of its members on.
+FREQUENT = 1 / 32
+#: Bounds of classes of e, in shingles: two an octave.
+GRID = np.array(sorted({s * x for k in range(40) for x in (0, 1, 1 << k, 3 << k) for s in (-1, 1)}), dtype=np.int64)
 #: Rows up to which ids are broadcast: about 20 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -156,49 +172,141 @@ def full_sets(ids: DataFrame, docs: DataFrame, width: int, id_col: str, text_col
     return stored(full.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets") if full.count() > ids.count() else full
 
 
-def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    left, right = (full.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).withColumn("u", F.size("sa") + F.size("sb") - F.col("i"))
-    return both.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
-
-
-def prefixes(full: DataFrame, percent: int) -> DataFrame:
-    """id and firsts: the first n - ceil(percent * n / 100) + 1 shingles of each set, rare ones first.
+def streamed(heads: DataFrame, members: DataFrame, full: DataFrame, make: Callable[[dict, np.ndarray], Callable[[dict, np.ndarray], Iterator[tuple]]], schema: str) -> DataFrame:
+    """What ``make(head, its data)`` makes of each of its members, one by one, and their sets, as rows of ``schema``.
 
-    Two sets that are linked share one of them.
-
-    Shingles with a share of ``COMMON`` of all occurrences or more are ordered by their counts, at most 1 / COMMON of
-    them; all others come before these, ordered by their hashes.
+    ``heads`` has a row a key with ``data`` (array<long>), ``members`` rows of ``key`` and ``id``; both with what else is asked of them.
     """
-    occurrences = full.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    counts = full.select(F.explode("shingles").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("k"))
-    common = sorted((r.k, r.g) for r in counts.where(F.col("k") >= max(16.0, occurrences * COMMON)).collect())
-    by_hash = np.array(sorted((g, i) for i, (_, g) in enumerate(common)), dtype=np.int64).reshape(-1, 2)
-    known = full.sparkSession.sparkContext.broadcast(by_hash)
-    kind = full.schema["id"].dataType.simpleString()
-
-    def make():
-        names, places = known.value[:, 0], known.value[:, 1] + 1
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    light = F.broadcast if members.count() <= BROADCAST_ROWS else lambda df: df
+    salts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
+    heads = heads.join(salts, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("tag", F.lit(0))
+    members = members.join(salts, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).withColumn("tag", F.lit(1))
+    members = full.withColumnRenamed("shingles", "data").join(light(members), "id")
+    rows = heads.drop("salts").unionByName(members.drop("salts"), allowMissingColumns=True)
+    rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "tag")
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = None
+        for batch in batches:
+            names = [c for c in batch.schema.names if c != "data"]
+            data = batch.column("data")
+            values, ends = data.values.to_numpy(zero_copy_only=False), data.offsets.to_numpy()
+            found: list[tuple] = []
+            for i, row in enumerate(zip(*[batch.column(c).to_pylist() for c in names])):
+                row, own = dict(zip(names, row)), values[ends[i] : ends[i + 1]]
+                if row["tag"] == 0:
+                    work = make(row, own.copy())
+                else:
+                    found.extend(work(row, own))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(list(zip(*found)) or [()] * len(target), target)], schema=target)
 
-        def work(batch):
-            keys = []
-            for s in batch.column("shingles"):
-                g = s.values.to_numpy(zero_copy_only=False)
-                place = np.zeros(len(g), dtype=np.int64)
-                if len(names):
-                    near = np.minimum(np.searchsorted(names, g), len(names) - 1)
-                    place = np.where(names[near] == g, places[near], 0)
-                first = np.lexsort((g, place))[: len(g) - -(-percent * len(g) // 100) + 1]
-                keys.append(g[first])
-            ends = np.cumsum([0, *map(len, keys)])
-            values = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-            return {"id": batch.column("id"), "firsts": pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(values))}
+    return rows.mapInArrow(run, schema)
 
-        return work
 
-    return map_arrow(full, make, f"id {kind}, firsts array<long>")
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    hubs = pairs.select(F.col("a").alias("id")).distinct()
+    heads = full.join(F.broadcast(hubs) if pairs.count() <= BROADCAST_ROWS else hubs, "id").select(F.col("id").alias("key"), F.col("shingles").alias("data"))
+    members = pairs.select(F.col("a").alias("key"), F.col("b").alias("id"))
+    kind = dict(pairs.dtypes)["a"]
+
+    def make(head: dict, hub: np.ndarray):
+        hub = np.sort(hub)
+
+        def linked(row: dict, own: np.ndarray) -> Iterator[tuple]:
+            both = int((hub[np.minimum(np.searchsorted(hub, own), len(hub) - 1)] == own).sum())
+            if 100 * both >= percent * (len(hub) + len(own) - both):
+                yield row["key"], row["id"]
+
+        return linked
+
+    return streamed(heads, members, full, make, f"a {kind}, b {kind}")
+
+
+def peeled(still: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links that need no look, and candidates (a, b), among members (bucket, id, n, component) of open buckets."""
+    # Every bucket goes to the group of that of its components which has most rows in open buckets.
+    weights = still.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
+    per = still.select("bucket", "component").distinct().join(weights, "component")
+    mains = per.groupBy("bucket").agg(F.max_by("component", F.struct("weight", "component")).alias("key"))
+    groups = stored(still.join(mains, "bucket").select("key", "id", "n", "component").distinct(), "groups")
+    kind = dict(groups.dtypes)["id"]
+    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    dealt = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    counts = full.join(dealt, "id").select("key", F.explode("shingles").alias("g")).groupBy("key", "g").agg(F.count(F.lit(1)).alias("k"))
+    frequent = counts.join(sizes, "key").where(F.col("k") >= F.greatest(F.lit(2), F.col("members") * FREQUENT))
+    # At most 1 / FREQUENT times the mean size of a group's sets.
+    heads = frequent.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("g", "k"))).alias("f"), F.first("members").alias("members"))
+    heads = sizes.select("key").join(heads, "key", "left").select("key", F.expr("coalesce(transform(f, x -> x.g), array())").cast("array<long>").alias("data"), F.expr("transform(f, x -> x.k)").alias("counts"), "members")
+    heads = stored(heads, "heads")
+    whole, part = 100 + percent, 100 - percent
+
+    def apart(head: dict, g: np.ndarray):
+        """A function from a set to its X, rare elements first."""
+        if not len(g):
+            return np.sort
+        members, k = head["members"], np.array(head["counts"], dtype=np.int64)
+        common = 2 * k > members
+
+        def x_of(own: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(g, own), len(g) - 1)
+            known = g[at] == own
+            missing = common.copy()
+            missing[at[known]] = False
+            extra = ~(known & common[at])
+            x = np.concatenate([own[extra], g[missing]])
+            often = np.concatenate([np.where(known, k[at], 1)[extra], (members - k)[missing]])
+            return x[np.lexsort((x, often))]
+
+        return x_of
+
+    def measure(head: dict, g: np.ndarray):
+        x_of = apart(head, g)
+
+        def of(row: dict, own: np.ndarray) -> Iterator[tuple]:
+            a = len(x_of(own))
+            e = whole * a - part * row["n"]
+            yield row["key"], row["id"], row["n"], row["component"], a, e, int(np.searchsorted(GRID, e // whole, side="right"))
+
+        return of
+
+    measured = stored(streamed(heads, groups, full, measure, f"key {kind}, id {kind}, n long, component {kind}, a long, e long, class int"), "measured")
+    nearest = measured.groupBy("key").agg(F.min(F.struct("e", "id", "component")).alias("m"))
+    certain = measured.join(nearest, "key").where("component != m.component and e + m.e <= 0").select(F.least("id", "m.id").alias("a"), F.greatest("id", "m.id").alias("b"))
+    there = measured.groupBy("key", "class").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("e").alias("e0"), F.max("e").alias("e1"), F.max("a").alias("a1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    there = there.groupBy("key").agg(F.collect_list(F.struct("class", "c0", "c1", "e0", "e1", "a1", "n0", "n1")).alias("there"))  # a row a class of the grid
+
+    def first_ones(head: dict, g: np.ndarray):
+        x_of, there = apart(head, g), head["there"]
+        salt = mixed(np.array([zlib.crc32(str(head["key"]).encode())], dtype=np.uint64))
+
+        def of(row: dict, own: np.ndarray) -> Iterator[tuple]:
+            x, n = x_of(own), row["n"]
+            a, e = len(x), whole * len(x) - part * n
+            mine = int(np.searchsorted(GRID, e // whole, side="right"))
+            for t in there:
+                least = max(1, -(-(e + t["e0"]) // (2 * whole)))
+                fits = 100 * t["n1"] >= percent * n and percent * t["n0"] <= 100 * n
+                if not fits or e + t["e1"] <= 0 or least > min(a, t["a1"]) or t["c0"] == t["c1"] == row["component"]:
+                    continue
+                low, high = sorted((mine, t["class"]))
+                keys = mixed(mixed(x[: a - least + 1].view(np.uint64) ^ mixed(np.array([low * 4096 + high], dtype=np.uint64))) + salt).view(np.int64).tolist()
+                for role in {mine > low, mine == high}:
+                    for key in keys:
+                        yield key, role, row["id"], n, row["component"], e
+
+        return of
+
+    keyed = streamed(heads.join(there, "key"), groups, full, first_ones, f"key long, role boolean, id {kind}, n long, component {kind}, e long")
+    keyed = stored(keyed, "firsts")
+    left, right = (keyed.where(F.col("role") == r).select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "component", "e")]) for r, s in ((False, "0"), (True, "1")))
+    sized = f"100 * least(n0, n1) >= {percent} * greatest(n0, n1)"
+    pairs = left.join(right, "key").where("component0 != component1 and e0 + e1 > 0").where(sized)
+    return certain, pairs.select(F.least("id0", "id1").alias("a"), F.greatest("id0", "id1").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -224,9 +332,22 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """id, component after ``links`` (a, b) join components of ``found``; only ends of links move."""
+    if found is None:
+        return stored(components(links), "components")
+    for x in "ab":
+        own = found.select(F.col("id").alias(x), F.col("component").alias("c"))
+        links = links.join(own, x, "left").withColumn(x, F.coalesce("c", x)).drop("c")
+    moved = stored(components(links), "moved")
+    kept = found.join(moved.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
+    return stored(kept.select("id", F.coalesce("now", "component").alias("component")).union(moved.select("id", "component")), "components")
+
+
 def still_open(members: DataFrame, found: DataFrame) -> DataFrame:
     """bucket, id, n, component of the members of buckets that hold more than one component; written."""
-    labelled = stored(members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    labelled = members.select("bucket", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = stored(labelled, "labelled")
     several = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
     return stored(labelled.join(several, "bucket", "left_semi"), "open")
 
@@ -236,41 +357,48 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     sketch = stored(sketches(docs, width, rows, bands, cells, id_col, text_col), "sketches")
     classes = sketch.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes, "classes")
-    members = sketch.where("n > 0").select("id", "c1", "c2", "n", "bands").join(classes.where("id is not null").select("id", "c1", "c2", "n"), ["id", "c1", "c2", "n"], "left_semi")
+    copied = classes.where("copies > 1").select("c1", "c2", "n", F.col("id").alias("first"))
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
+    # One row a class: single documents as they are, of copies the first.
+    marked = sketch.where("n > 0 and id is not null").join(copied, ["c1", "c2", "n"], "left")
+    firsts = marked.where("id = first").groupBy("id", "n", "c1", "c2").agg(F.first("bands").alias("bands"))
+    members = marked.where("first is null").select("id", "n", "bands").union(firsts.select("id", "n", "bands"))
     members = members.select("id", "n", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.max("id").alias("last"))
-    buckets = stored(buckets.where("hub != last").drop("last"), "buckets")
-    members = stored(members.join(buckets, "bucket"), "members")
-    sized = "100 * least(n, {0}) >= " + str(percent) + " * greatest(n, {0})"
-    tested = stored(members.where("id != hub").where(sized.format("hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    ids = stored(tested.select(F.col("a").alias("id")).union(tested.select(F.col("b").alias("id"))).distinct(), "compared")
-    links = stored(confirmed(tested, full_sets(ids, docs, width, id_col, text_col), percent), "confirmed")
-    found = stored(components(links), "components")
-    still = still_open(members.select("bucket", "id", "n"), found)
-    if not still.isEmpty():
-        full = full_sets(stored(still.select("id").distinct(), "compared"), docs, width, id_col, text_col)
-        # Round 2: with a drawn member of another component.
-        drawn = still.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("bucket", "id")).alias("d"))
-        pairs = still.join(drawn, "bucket").where("component != d.component").where(sized.format("d.n"))
-        pairs = pairs.select(F.least("id", "d.id").alias("a"), F.greatest("id", "d.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        links = stored(links.union(confirmed(pairs, full, percent)), "confirmed")
-        found = stored(components(links), "components")
-        still, tested = still_open(still.select("bucket", "id", "n"), found), tested.union(pairs)
+    shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket"), "shared")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    still = stored(members.join(shared, "bucket", "left_semi").withColumn("component", F.col("id")), "open")
+    full = full_sets(stored(still.select("id").distinct(), "compared"), docs, width, id_col, text_col)
+    found = tested = None
+    for k in range(ROUNDS):
+        if still.isEmpty():
+            break
+        drawn = F.xxhash64(F.lit(k), "bucket", "id") if k else F.col("id")
+        hubs = still.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "component"), drawn).alias("h"))
+        votes = still.join(hubs, "bucket").where("component != h.component").where(f"100 * least(n, h.n) >= {percent} * greatest(n, h.n)")
+        votes = votes.groupBy("id", F.col("h.id").alias("hub")).agg(F.count(F.lit(1)).alias("k")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), "id", "k")
+        if tested is not None:
+            votes = votes.join(tested, ["a", "b"], "left_anti")
+        pairs = votes.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("k", F.xxhash64("a", "b"))).alias("p"))
+        pairs = stored(pairs.select("p.a", "p.b").distinct(), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = stored(confirmed(pairs, full, percent), "confirmed")
+        n = links.count()
+        if n:
+            found = joined(found, links)
+            still = still_open(still, found)
+        if n < WORTH * pairs.count():
+            break
     if not still.isEmpty():
-        # Round 3: what is left between components.
-        per = still.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-        main = per.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-        still = stored(still.join(main, "bucket").join(stored(prefixes(full, percent), "prefixes"), "id"), "open")
-        minor = still.where("component != main").select("bucket", F.col("id").alias("x"), F.col("n").alias("hub_n"), F.col("component").alias("of"), F.col("firsts").alias("x_firsts"))
-        cross = still.join(minor, "bucket").where(F.col("component") != F.col("of")).where(sized.format("hub_n")).where(F.arrays_overlap("firsts", "x_firsts"))
-        cross = cross.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = stored(confirmed(stored(cross, "pairs"), full, percent), "confirmed")
-        if not more.isEmpty():
-            found = components(links.union(more))
-    found = stored(found, "components")
+        certain, pairs = peeled(still, full, percent)
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = stored(confirmed(pairs, full, percent).union(certain), "confirmed")
+        if not links.isEmpty():
+            found = joined(found, links)
     # Classes that a link or a copy ties together; all other documents stand alone.
-    tied = classes.join(found, "id", "left").where("copies > 1 or component is not null")
+    if found is None:
+        tied = classes.withColumn("component", F.lit(None).cast(dict(classes.dtypes)["id"])).where("copies > 1")
+    else:
+        tied = classes.join(found, "id", "left").where("copies > 1 or component is not null")
     tied = stored(tied.select("c1", "c2", "n", F.coalesce("component", "id").alias("component")), "tied")
     out = sketch.select("id", "n", "c1", "c2").join(tied, ["c1", "c2", "n"], "left")
     component = F.coalesce("component", "id")
