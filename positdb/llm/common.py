@@ -40,13 +40,22 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return _made[-1]
 
 
-def clear_work(spark: SparkSession) -> int:
-    """Delete the work tables made so far; results must have been written or read before.  Returns their number."""
-    n = len(_made)
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+def work_tables() -> int:
+    """How many work tables there are; ``clear_work`` can spare these."""
+    return len(_made)
+
+
+def clear_work(spark: SparkSession, since: int = 0, keep: str | None = None) -> int:
+    """Delete the work tables made after the first ``since``, but for ``keep``; returns their number.
+
+    What was made from them must have been written or read before.
+    """
+    gone = [x for x in _made[since:] if x != keep]
+    _made[since:] = [x for x in _made[since:] if x == keep]
+    for folder in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
