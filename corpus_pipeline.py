@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from positdb.llm import exactdedup, langid, minhash, mixing, packing
-from positdb.llm.common import new_folder, stored, table
+from positdb.llm.common import clear_work, new_folder, stored, table, work_tables
 from positdb.llm.queries import tokenizer_path
 
 #: Ids up to which a drop list is broadcast.
@@ -73,14 +73,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
 
-#: Language, near-duplicate and packing stages can't be expressed in SQL; a brute-force test covers the run.
+#: Language, near-duplicate and packing stages can't be expressed in SQL; brute-force tests cover the stages one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage wrote on its way, and the stage before it, are deleted once it is done."""
+    docs, since = table(spark, sf_dir, "documents"), work_tables()
     for name, stage in STAGES:
         folder = new_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        clear_work(spark, since, keep=folder)
     return docs
