@@ -45,8 +45,13 @@ class Result:
 
     def iterate(self) -> Iterator[list[str]]:
         """Rows one by one, a partition at a time on the driver."""
+        for row, _ in self.iterate_typed():
+            yield row
+
+    def iterate_typed(self) -> Iterator[tuple[list[str], list[str]]]:
+        """Rows one by one, each with the types of its cells."""
         for r in self.df.toLocalIterator(prefetchPartitions=True):
-            yield [str(r[c]) for c in self.columns]
+            yield [str(r[c]) for c in self.columns], [r[f"{c}__type"] for c in self.columns]
 
 
 @dataclass
@@ -71,11 +76,13 @@ class Engine:
         """
         scope: dict[str, Binding] = {}
         for command in parse(script, times.now()):
-            if isinstance(command, AddRole):
-                for name in command.names:
-                    self.store.add_role(name)
-            elif isinstance(command, AddPosit):
-                self._add(command, scope)
+            if isinstance(command, (AddRole, AddPosit)):
+                with self.store.lock:  # scripts of several threads may share a store
+                    if isinstance(command, AddRole):
+                        for name in command.names:
+                            self.store.add_role(name)
+                    else:
+                        self._add(command, scope)
             else:
                 yield self._search(command, scope)
 
@@ -113,11 +120,25 @@ class Engine:
         return ids
 
     def _add(self, command: AddPosit, scope: dict[str, Binding]) -> None:
+        """Adds a command's posits in one insert, or in several where a posit appears in a later one."""
+        waiting: list[tuple[str | None, list[tuple]]] = []  # posit variable, posits
+
+        def insert() -> None:
+            ids = iter(self.store.insert([x for _, posits in waiting for x in posits]))
+            for var, posits in waiting:
+                made = [next(ids) for _ in posits]
+                if var:
+                    before = self._ids(scope, var) if var in scope else []
+                    scope[var] = Binding(list(dict.fromkeys([*before, *made])), True)
+            waiting.clear()
+
         for p in command.posits:
             things: list[list[int]] = []
             roles = [role for _, _, role in p.appearances]
             if len(set(roles)) < len(roles):
                 raise ExecutionError("A role can appear once in a posit")
+            if {name for _, name, _ in p.appearances} & {var for var, _ in waiting}:
+                insert()
             for fresh, name, role in p.appearances:
                 if role not in self.store.roles:
                     raise ExecutionError(f"Unknown role '{role}'")
@@ -128,10 +149,8 @@ class Engine:
                     things.append([made])
                 else:
                     things.append(self._ids(scope, name))
-            ids = self.store.insert([(dict(zip(roles, one)), p.value, p.time) for one in product(*things)])
-            if p.var:
-                before = self._ids(scope, p.var) if p.var in scope else []
-                scope[p.var] = Binding(list(dict.fromkeys([*before, *ids])), True)
+            waiting.append((p.var, [(dict(zip(roles, one)), p.value, p.time) for one in product(*things)]))
+        insert()
 
     def _search(self, search: Search, scope: dict[str, Binding]) -> Result:
         compiled = Compiler(self.store, scope).search(search)

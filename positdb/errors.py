@@ -29,9 +29,5 @@ class ExecutionError(PositError):
     """A script asks for something that has no meaning with this data."""
 
 
-class InvariantError(PositError):
-    """An internal assumption doesn't hold."""
-
-
 class Cancelled(PositError):
     """The query was cancelled or took too long."""

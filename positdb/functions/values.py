@@ -6,7 +6,6 @@ integers and of decimals that fit 38 digits, ``v_cert`` the percentage of certai
 """
 
 import json
-import re
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation, localcontext
 
@@ -125,7 +124,3 @@ def columns(vt: int, value: Column) -> list[Column]:
         text, key = times.shown(prec, lo), F.concat(F.lit(f"{times.MOMENT}:"), lo.cast("string"))
     cast = {"vt": (F.lit(vt), "tinyint"), "v_text": (text, "string"), "v_key": (key, "string"), "v_num": (num, NUMBER), "v_cert": (cert, "int"), "v_prec": (prec, "tinyint"), "v_lo": (lo, "long"), "v_hi": (hi, "long")}
     return [c.cast(kind).alias(name) for name, (c, kind) in cast.items()]
-
-
-def is_role(name: str) -> bool:
-    return re.fullmatch(r"[A-Za-z ]+", name) is not None and name.strip() != ""

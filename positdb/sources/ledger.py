@@ -1,17 +1,20 @@
 """A hash chain over the posits in the order they were added.
 
-An entry's hash covers the posit's content and the hash of the entry before, so appending is sequential and done for
-the rows of a batch on the driver.  Verification isn't: every entry is checked against the stored hash before it, all
-entries in parallel.
+An entry's hash covers the posit's content and the hash of the entry before, so appending is sequential: the driver chains
+what a script adds, and tables in order of their ids, a partition's rows at a time, written in batches of ``BATCH``.
+Verification isn't sequential: every entry is checked against the stored hash before it, all entries in parallel.
 """
 
 import hashlib
+from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
 SCHEMA = "seq long, posit_id long, prev string, hash string"
+#: Entries that are held at once while a table is chained.
+BATCH = 200_000
 
 
 def payload(posit_id, key: str, vt: int, text: str, time: str) -> str:
@@ -40,6 +43,16 @@ def append(store, rows: list[tuple]) -> None:
     store.spark.createDataFrame(entries, SCHEMA).coalesce(1).write.mode("append").parquet(f"{store.path}/ledger")
 
 
+def append_frame(store, posits: DataFrame) -> None:
+    """Chain a table of posits that is being added to a store with a path, in order of ids, ``BATCH`` entries at a time."""
+    prev, seq = head(store)
+    ordered = posits.select("posit_id", payload_column().alias("payload")).orderBy("posit_id").toLocalIterator(prefetchPartitions=True)
+    while batch := list(islice(ordered, BATCH)):
+        entries = chain([(r.posit_id, r.payload) for r in batch], prev, seq)
+        prev, seq = entries[-1][3], entries[-1][0]
+        store.spark.createDataFrame(entries, SCHEMA).coalesce(1).write.mode("append").parquet(f"{store.path}/ledger")
+
+
 def head(store) -> tuple[str, int]:
     """The newest hash and the number of entries."""
     if not store.path or not store._exists("ledger"):
@@ -68,8 +81,3 @@ def verify(store) -> dict:
     state = checked(store.posits(), store._read("ledger"))
     r = state.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("bad"), F.min_by("posit_id", F.when(~F.col("ok"), F.col("seq"))).alias("first")).first()
     return {"entries": r.n, "mismatches": r.bad, "first": r.first if r.bad else None}
-
-
-def window_links(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` with ``prev``: the row hash before in ``order``, for tables small enough to be ordered as a whole."""
-    return rows.withColumn("prev", F.coalesce(F.lag("hash").over(Window.orderBy(order)), F.lit(GENESIS)))

@@ -11,11 +11,28 @@ from positdb.engine import Engine, Result
 from positdb.errors import Cancelled
 
 
-def stream(engine: Engine, script: str) -> Iterator[tuple[int, list[str]]]:
-    """(number of the result, row) of all searches of a script, in order; rows arrive a partition at a time."""
+def events(engine: Engine, script: str) -> Iterator[tuple]:
+    """What happens as the searches of a script deliver rows, a partition at a time.
+
+    ("start", number of the result, result), ("row", number, row, types of its cells), ("end", number, rows, limited).
+    Sending False to a row ends its result.
+    """
     for k, result in enumerate(engine.commands(script)):
-        for row in result.iterate():
-            yield k, row
+        yield "start", k, result
+        n = 0
+        for row, types in result.iterate_typed():
+            n += 1
+            if (yield "row", k, row, types) is False:
+                break
+        limit = result.compiled.limit
+        yield "end", k, n, limit is not None and n >= limit
+
+
+def stream(engine: Engine, script: str) -> Iterator[tuple[int, list[str]]]:
+    """(number of the result, row) of all searches of a script, in order."""
+    for kind, k, *rest in events(engine, script):
+        if kind == "row":
+            yield k, rest[0]
 
 
 @dataclass
@@ -23,23 +40,19 @@ class Callbacks:
     """What a consumer of several results gets told.  ``row`` may return False to end its result."""
 
     start: Callable[[int, Result], None] = lambda k, result: None
-    row: Callable[[int, list[str]], bool | None] = lambda k, row: None
+    row: Callable[[int, list[str], list[str]], bool | None] = lambda k, row, types: None
     end: Callable[[int, int, bool], None] = lambda k, rows, limited: None
 
 
 def deliver(engine: Engine, script: str, to: Callbacks) -> int:
     """Runs a script and tells ``to``; returns the number of results."""
-    k = -1
-    for k, result in enumerate(engine.commands(script)):
-        to.start(k, result)
-        n = 0
-        for row in result.iterate():
-            n += 1
-            if to.row(k, row) is False:
-                break
-        limit = result.compiled.limit
-        to.end(k, n, limit is not None and n >= limit)
-    return k + 1
+    happening, said, k = events(engine, script), None, -1
+    while True:
+        try:
+            kind, k, *rest = happening.send(said)
+        except StopIteration:
+            return k + 1
+        said = getattr(to, kind)(k, *rest)
 
 
 _END = object()
@@ -47,7 +60,7 @@ _END = object()
 
 @dataclass
 class Running:
-    """A script that runs in a thread of its own.  Iterating gives (result, row); errors are raised there."""
+    """A script that runs in a thread of its own.  Iterating gives (result, row), ``events`` all that happens; errors are raised there."""
 
     engine: Engine
     script: str
@@ -72,7 +85,7 @@ class Running:
         spark = self.engine.store.spark
         try:
             spark.addTag(self.id)
-            for item in stream(self.engine, self.script):
+            for item in events(self.engine, self.script):
                 self._put(item)
                 if self._cancelled.is_set():
                     return
@@ -88,6 +101,11 @@ class Running:
         self.engine.store.spark.interruptTag(self.id)
 
     def __iter__(self) -> Iterator[tuple[int, list[str]]]:
+        for kind, k, *rest in self.events():
+            if kind == "row":
+                yield k, rest[0]
+
+    def events(self) -> Iterator[tuple]:
         while True:
             if self._ends is not None and time.monotonic() > self._ends:
                 self.cancel()

@@ -11,16 +11,16 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from positdb.engine import Engine
-from positdb.errors import Cancelled, ExecutionError
+from positdb.errors import Cancelled, DataCorruption, ExecutionError
 from positdb.functions import certainty, times, values
 from positdb.operators import sets
 from positdb.server import answer, serve
 from positdb.sources import ledger
-from positdb.sources.store import PositStore
+from positdb.sources.store import PositStore, Shred
 from positdb.streaming.rows import Callbacks, Running, deliver, stream
 from positdb.streaming.snapshots import latest
 
-SCRIPT = """add role audit, name; add posit [{(+a, audit)}, "x", '2020'], [{(+b, name)}, 42, '2020-01'], [{(a, audit)}, "x", '2020'], [{(a, audit)}, 42%, @BOT];"""
+SCRIPT = """add role shelf, name; add posit [{(+a, shelf)}, "x", '2020'], [{(+b, name)}, 42, '2020-01'], [{(a, shelf)}, "x", '2020'], [{(a, shelf)}, 42%, @BOT];"""
 
 
 def test_store_is_restored_and_verified(spark, tmp_path):
@@ -47,6 +47,39 @@ def test_equal_posits_are_one_also_after_restart(spark, tmp_path):
     assert again.insert([({"k": 7}, values.integer("10"), times.parse("2020"))]) != one
 
 
+def test_tables_are_deduplicated_and_chained(spark, tmp_path):
+    """Posits of a table that equal each other or those of the store are not added; all others get ledger entries."""
+    path = f"file://{tmp_path}/db"
+    store = PositStore.open(spark, path)
+    store.add_role("k")
+    first, = store.insert([({"k": 7}, values.integer("10"), times.BEGINNING)])
+    table = spark.createDataFrame([(7, 10, 1000), (7, 11, 1001), (8, 10, 1002), (8, 10, 1003)], "thing long, v long, id long")
+    store.shred(Shred(table, {"k": F.col("thing")}, values.INTEGER, F.col("v"), F.col("id")))
+    assert sorted(r.posit_id for r in store.posits().collect()) == [first, 1001, 1002]
+    again = PositStore.open(spark, path)
+    assert ledger.verify(again) == {"entries": 3, "mismatches": 0, "first": None} and again.last_id >= 1002
+
+
+def test_a_changed_store_does_not_open(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    Engine(PositStore.open(spark, path)).run(SCRIPT)
+    posits = spark.read.parquet(f"{path}/posit")
+    changed = posits.withColumn("v_text", F.when(F.col("v_text") == "x", "y").otherwise(F.col("v_text"))).collect()
+    spark.createDataFrame(changed, posits.schema).write.mode("overwrite").partitionBy("role_set").parquet(f"{path}/posit")
+    with pytest.raises(DataCorruption):
+        PositStore.open(spark, path)
+
+
+def test_a_command_is_one_write(spark, tmp_path):
+    """Posits of a command go to one file, but for those that appear in a later one of it."""
+    path = f"file://{tmp_path}/db"
+    store = PositStore.open(spark, path)
+    Engine(store).run("add role k; add posit " + ", ".join(f"[{{(+x{i}, k)}}, {i}, '2020']" for i in range(20)) + ";")
+    assert store.posits().count() == 20 and store._read("ledger").inputFiles().__len__() == 1
+    Engine(store).run("add posit +p [{(+a, k)}, 1, '2021'], [{(p, posit), (a, ascertains)}, 50%, '2022'];")
+    assert store.posits().count() == 22 and ledger.verify(store)["mismatches"] == 0
+
+
 def test_ledger_finds_changes(spark):
     store = PositStore.in_memory(spark)
     Engine(store).run(SCRIPT)
@@ -121,10 +154,10 @@ def test_bad_times(bad):
 def test_rows_are_streamed(spark):
     engine = Engine(spark)
     engine.run(SCRIPT)
-    script = "search [{(*, audit)}, +v, *] return v; search [{(*, name)}, +n, *] return n limit 1;"
+    script = "search [{(*, shelf)}, +v, *] return v; search [{(*, name)}, +n, *] return n limit 1;"
     assert sorted(stream(engine, script)) == [(0, ["0.42"]), (0, ["x"]), (1, ["42"])]
     told = []
-    assert deliver(engine, script, Callbacks(lambda k, r: told.append((k, r.columns)), lambda k, row: k > 0, lambda *x: told.append(x))) == 2
+    assert deliver(engine, script, Callbacks(lambda k, r: told.append((k, r.columns)), lambda k, row, types: k > 0, lambda *x: told.append(x))) == 2
     assert told == [(0, ["v"]), (0, 1, False), (1, ["n"]), (1, 1, True)]
     assert len(list(Running(engine, script))) == 3
     with pytest.raises(ExecutionError):
@@ -136,15 +169,29 @@ def test_rows_are_streamed(spark):
 def test_http(spark):
     engine = Engine(spark)
     engine.run(SCRIPT)
-    assert answer(engine, {"script": "find"})[0] == 400
-    status, body = answer(engine, {"script": "search [{(*, name)}, +n, *] return n;"})
-    assert status == 200 and body["results"][0]["rows"] == [["42"]] and body["results"][0]["row_types"] == [["i64"]]
+    one = "search [{(*, name)}, +n, *] return n;"
+    assert answer(engine, {"script": "find"})[0] == 400 and answer(engine, {"script": "search [{(*, nothing)}, +n, *] return n;"})[0] == 500
+    status, body = answer(engine, {"script": one})
+    assert status == 200 and (body["columns"], body["rows"], body["row_types"], body["row_count"], body["limited"]) == (["n"], [["42"]], [["i64"]], 1, False)
+    status, body = answer(engine, {"script": one + one})
+    assert status == 200 and body["row_count"] == 2 and [f["rows"] for f in body["result_sets"]] == [[["42"]]] * 2
+    assert answer(engine, {"script": one, "timeout_ms": 0})[0] == 504
     server = serve(engine, port=0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    try:
-        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}/v1/query", json.dumps({"script": "search [{(*, name)}, +n, *] return n;", "stream": True}).encode())
+
+    def streamed(**asked):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}/v1/query", json.dumps(asked | {"stream": True}).encode())
         text = urllib.request.urlopen(request, timeout=60).read().decode()
-        assert [x for x in text.split() if x.isidentifier() and "_" in x or x in ("meta", "row")] == ["meta", "result_set_start", "row", "result_set_end", "multi_end"]
+        return [json.loads(x.removeprefix("data: ")) for x in text.split("\n\n") if x]
+
+    try:
+        found = streamed(script=one)
+        assert [e["event"] for e in found] == ["meta", "row", "end"] and found[1]["types"] == ["i64"] and found[2]["row_count"] == 1
+        assert streamed(script=one, timeout_ms=60_000) == found
+        found = streamed(script=one + one)
+        assert [e["event"] for e in found] == ["result_set_start", "row", "result_set_end"] * 2 + ["multi_end", "end"]
+        assert found[4]["index"] == 1 and found[6]["total_rows"] == 2
+        assert [e["event"] for e in streamed(script=one, timeout_ms=0)] == ["error", "end"]
     finally:
         server.shutdown()
 
