@@ -21,7 +21,7 @@ from positdb.functions.times import Time
 from positdb.functions.values import Value
 from positdb.operators import temporal
 from positdb.plans.syntax import Condition, Pattern, Search
-from positdb.sources.store import PositStore
+from positdb.sources.store import Bounds, PositStore
 
 VALUE_FIELDS = ("vt", "v_text", "v_key", "v_num", "v_cert", "v_prec", "v_lo", "v_hi")
 TIME_FIELDS = ("t_prec", "t_lo", "t_hi", "t_text")
@@ -54,6 +54,7 @@ class Compiler:
     types: dict[str, set[int]] = field(default_factory=dict)  # of value variables
     orders: list[str] = field(default_factory=list)
     bound: DataFrame | None = None
+    where: tuple[Condition, ...] = ()
 
     # -- patterns --------------------------------------------------------------------------------------------------
     def kind(self, name: str, kind: str) -> bool:
@@ -70,15 +71,51 @@ class Compiler:
             return df.where(F.col(column).isin(ids)) if ids else df.where(F.lit(False))
         return df.join(ids.toDF("__id"), F.col(column) == F.col("__id"), "left_semi")
 
-    def scan(self, p: Pattern) -> tuple[DataFrame, set[int]]:
-        """Candidates with their things in ``s_0``, ``s_1``, ...; filters on value and identity not yet applied."""
+    def bounds(self, p: Pattern) -> Bounds:
+        """What conditions and literals say of a pattern's posits before any snapshot is taken."""
+        low: dict[str, list] = {"begin": [], "number": [], "certainty": []}
+        high: dict[str, list] = {"begin": [], "number": [], "certainty": []}
+        ends: list[int] = []
+        if isinstance(p.time, Time):
+            low["begin"].append(p.time.lo), high["begin"].append(p.time.lo)
+        if isinstance(p.as_of, Time):
+            high["begin"].append(p.as_of.hi)
+        for c in self.where if p.as_of is None else ():
+            right = c.right
+            if not isinstance(right, Value) or c.var not in (p.time, p.value):
+                continue
+            if c.var == p.time and right.vt == values.TIME:
+                t, field = right.time, "begin"
+                below, above = (t.lo, t.lo) if c.op == "=" else (t.hi, t.hi)
+                if c.op == ">=":
+                    ends.append(t.lo)
+                    continue
+            elif c.var == p.value and right.vt in values.NUMBERS and right.num is not None:
+                field, below, above = "number", right.num, right.num
+            elif c.var == p.value and right.vt == values.CERTAINTY:
+                field, below, above = "certainty", right.cert, right.cert
+            else:
+                continue
+            if c.op in (">", ">=", "="):
+                low[field].append(below)
+            if c.op in ("<", "<=", "="):
+                high[field].append(above)
+        return Bounds(*[(max(low[f], default=None), min(high[f], default=None)) for f in ("begin", "number", "certainty")], max(ends, default=None))
+
+    def scan(self, p: Pattern) -> tuple[DataFrame, set[int], tuple[str, ...]]:
+        """Candidates with their things in ``s_0``, ``s_1``, ..., their value types, and the roles if all have the same.
+
+        Filters on value and identity are not yet applied.
+        """
         slots = p.slots or ()
         sets = self.store.matching(s.role for s in slots if s.role)
-        df = self.store.posits(sets)
+        roles = tuple(sets[0].split("|")) if len(sets) == 1 else ()
+        df = self.store.posits(sets, self.bounds(p))
         if isinstance(p.time, Time):
             df = df.where((F.col("t_prec") == p.time.prec) & (F.col("t_lo") == p.time.lo))
         if isinstance(p.as_of, Time):
-            df = temporal.snapshot(df, p.as_of.hi)
+            # One set of roles: its things tell sets of appearances apart.
+            df = temporal.snapshot(df, p.as_of.hi, [F.col("apps").getItem(r) for r in roles] or ["aset_key"])
         if isinstance(p.value, Value):
             df = df.where((F.col("vt") == p.value.vt) & (F.col("v_key") == p.value.key))
         for i, s in enumerate(slots):
@@ -86,10 +123,10 @@ class Compiler:
                 df = df.withColumn(f"s_{i}", F.col("apps").getItem(s.role))
             else:
                 df = df.withColumn(f"s_{i}", F.explode(F.map_values("apps")))
-        return df.drop("apps"), set().union(*[self.store.types[s] for s in sets]) if sets else set()
+        return df.drop("apps"), set().union(*[self.store.types[s] for s in sets]) if sets else set(), roles
 
     def pattern(self, k: int, p: Pattern) -> None:
-        df, vts = self.scan(p)
+        df, vts, roles = self.scan(p)
         slots = p.slots or ()
         before = set(self.kinds)
         unions = [(i, s) for i, s in enumerate(slots) if len(s.names) > 1]
@@ -103,7 +140,24 @@ class Compiler:
                 df = self.held(df, f"s_{i}", name)
             self.kind(name, "thing")
         branches = []
-        for choice in product(*[s.names for _, s in unions]):
+        bound = {c[2:] for c in self.bound.columns if c.startswith("i_")} if self.bound is not None else set()
+        spread = bool(unions) and all(n in bound for _, s in unions for n in s.names)
+        if spread:
+            # All members are bound: each row asks for them in turn, in one join, instead of a plan for each of them.
+            columns = {f"!{i}": f"s_{i}" for i, _ in unions}
+            for i, s in named:
+                if s.names[0] in columns:
+                    df = df.where(F.col(columns[s.names[0]]) == F.col(f"s_{i}"))
+                else:
+                    columns[s.names[0]] = f"s_{i}"
+            number = F.lit(0)
+            for i, s in unions:
+                members = [F.struct(F.lit(n).alias("n"), F.col(f"i_{name}").alias("thing")) for n, name in enumerate(s.names)]
+                self.bound = self.bound.withColumn("__u", F.explode(F.array(*members))).withColumn(f"i_!{i}", F.col("__u.thing")).withColumn(f"__n_{i}", F.col("__u.n")).drop("__u")
+                number = number * len(s.names) + F.col(f"__n_{i}")
+            self.bound = self.bound.withColumn(f"member_{k}", number).drop(*[f"__n_{i}" for i, _ in unions])
+            branches.append((df, columns))
+        for choice in () if spread else product(*[s.names for _, s in unions]):
             one, columns = df, {}
             for (i, s), name in zip(unions, choice):
                 if name not in before and name in self.scope:
@@ -113,9 +167,10 @@ class Compiler:
                     one = one.where(F.col(columns[name]) == F.col(f"s_{i}"))  # the same thing in both roles
                 else:
                     columns[name] = f"s_{i}"
-            for name in columns:
-                self.kind(name, "thing")
             branches.append((one, columns))
+        for _, s in [*named, *unions]:
+            for name in s.names:
+                self.kind(name, "thing")
         if p.var:
             self.kind(p.var, "thing")
         value = p.value if isinstance(p.value, str) else None
@@ -131,16 +186,22 @@ class Compiler:
             raise ExecutionError(f"'as of {p.as_of}' needs a time variable of an earlier pattern")
         out = None
         for n, (one, columns) in enumerate(branches):
-            joined = self.join(k, p, one, columns, value, time, before)
-            if unions:
+            joined = self.join(k, p, one, columns, value, time, roles)
+            if spread:
+                joined = joined.drop(*[f"i_!{i}" for i, _ in unions])
+            elif unions:
                 joined = joined.withColumn(f"member_{k}", F.lit(n))
             out = joined if out is None else out.unionByName(joined, allowMissingColumns=True)
         self.orders += [f"pid_{k}", *([f"member_{k}"] if unions else [])]
         self.bound = out
 
-    def join(self, k: int, p: Pattern, df: DataFrame, columns: dict[str, str], value: str | None, time: str | None, before: set[str]) -> DataFrame:
-        if isinstance(p.as_of, str):
-            df = temporal.validity(df)
+    def join(self, k: int, p: Pattern, df: DataFrame, columns: dict[str, str], value: str | None, time: str | None, roles: tuple[str, ...]) -> DataFrame:
+        # Things of the row before settle the set of appearances: then its history is carried along, without pairs.
+        settled = isinstance(p.as_of, str) and p.slots and sorted(s.role or "" for s in p.slots) == list(roles) and not p.var
+        settled = settled and len(columns) == len(p.slots) and all(f"i_{name}" in self.bound.columns for name in columns)
+        settled = settled and not any(f"x_{v}_pid" in self.bound.columns for v in (value, time) if v)
+        if isinstance(p.as_of, str) and not settled:
+            df = temporal.validity(df, [F.col(c) for c in columns.values()] if sorted(s.role or "" for s in p.slots or ()) == list(roles) and len(columns) == len(roles) else ["aset_key"])
         here = {f"i_{name}": F.col(c) for name, c in columns.items()}
         keep = df
         if p.var:
@@ -153,7 +214,7 @@ class Compiler:
         if time:
             here |= {f"x_{time}_pid": F.col("posit_id")} | {f"t_{time}_{c}": F.col(c) for c in TIME_FIELDS}
         if isinstance(p.as_of, str):
-            here |= {"__lo": F.col("t_lo"), "__next": F.col("next_lo")}
+            here |= {"__lo": F.col("t_lo"), "__prec": F.col("t_prec")} if settled else {"__lo": F.col("t_lo"), "__next": F.col("next_lo")}
         right = keep.select(*[c.alias(n) for n, c in here.items()])
         if self.bound is None:
             return right
@@ -162,6 +223,8 @@ class Compiler:
         shared = [c for c in right.columns if c in left.columns and c.startswith(("i_", "x_"))]
         repeated = [c for c in right.columns if c in left.columns and c not in shared]
         right = right.drop(*repeated)
+        if settled:
+            return temporal.carried(left, f"t_{p.as_of}_t_hi", right, shared, "__lo", "__prec", f"pid_{k}").drop("__lo", "__prec")
         r = right.toDF(*[f"__r_{c}" if c in shared else c for c in right.columns])
         on = [F.col(c) == F.col(f"__r_{c}") for c in shared]
         if isinstance(p.as_of, str):
@@ -215,6 +278,10 @@ class Compiler:
                 if mixed == {True, False} or any(values.CERTAINTY in x and x & values.NUMBERS for x in (a, b)):
                     raise ExecutionError("Ordering comparison not allowed between a certainty and a number; a certainty needs a percent sign (%)")
                 self.no_order(a | b, numbers=False)
+            if not order and a <= values.NUMBERS and b <= values.NUMBERS:
+                return self.value(c.var, "v_key") == self.value(right, "v_key")  # the same text for equal numbers
+            if not order and not (a & values.NUMBERS and b & values.NUMBERS):
+                return self.value(c.var, "v_text") == self.value(right, "v_text")
             number = getattr(self.value(c.var, "v_num"), op)(self.value(right, "v_num"))
             certainty = getattr(self.value(c.var, "v_cert"), op)(self.value(right, "v_cert"))
             if order:
@@ -261,6 +328,7 @@ class Compiler:
         return out.alias(name)
 
     def search(self, s: Search) -> Compiled:
+        self.where = s.where
         for k, p in enumerate(s.patterns):
             self.pattern(k, p)
         df = self.bound

@@ -53,6 +53,11 @@ def shred(spark: SparkSession, sf_dir: str, name: str) -> Shred:
     if name == "assertion":
         day = F.lit("2024-01-01").cast("timestamp_ntz")
         return Shred(t("labels"), {"posit": thing(60, "doc_id"), "ascertains": F.lit(9 * NS + 1)}, values.CERTAINTY, F.expr("if(quality = 1, 100, -100)"), thing(61, "doc_id"), day, times.DATE)
+    if name == "review":  # two opinions of every labelled document, the later one of some turned round
+        day = F.expr("if(doc_id % 2 = 0, timestamp_ntz '2024-03-01', timestamp_ntz '2024-09-01')")
+        return Shred(t("labels"), {"posit": thing(60, "doc_id"), "ascertains": F.lit(9 * NS + 2)}, values.CERTAINTY, F.expr("if(toxic = 1, -80, 80)"), thing(64, "doc_id"), day, times.DATE)
+    if name == "ordered":
+        return Shred(t("orders"), {"ordered": thing(2, "o_orderkey")}, values.TIME, F.col("o_orderdate"), thing(65, "o_orderkey"), F.col("o_orderdate"), times.DATE)
     if name in ("code", "zone"):
         table, key, ns = ("nation", "n_nationkey", 3) if name == "code" else ("region", "r_regionkey", 6)
         return Shred(t(table), {name: thing(ns, key)}, values.INTEGER, F.col(key), thing(62 if name == "code" else 63, key))
@@ -62,7 +67,7 @@ def shred(spark: SparkSession, sf_dir: str, name: str) -> Shred:
 def store(spark: SparkSession, sf_dir: str, *names: str) -> PositStore:
     found = PositStore.in_memory(spark)
     for name in names:
-        found.shred(shred(spark, sf_dir, name), unique=name == "order state")
+        found.shred(shred(spark, sf_dir, name), unique=name != "order state")
     return found
 
 
@@ -93,6 +98,29 @@ def set_query(op) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def set_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.insert(users(spark, sf_dir, "error"), [4 * NS - 1, 4 * NS - 2])
+
+
+def row_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display texts of mixed values with the type of each cell."""
+    found = Engine(store(spark, sf_dir, "size", "price")).run("search +p [{(+x, *)}, +v, +t] return p, v, t;")[0]
+    return found.df.select("p", "p__type", "v", "v__type", "t", "t__type")
+
+
+def ledger_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain over posits of which two were changed afterwards: those two don't fit, all others do."""
+    posits, entries = _chain(spark, sf_dir)
+    changed = F.when(F.col("posit_id").isin(55 * NS + 3, 55 * NS + 11), F.concat("v_text", F.lit("!"))).otherwise(F.col("v_text"))
+    return ledger.checked(posits.withColumn("v_text", changed), entries).select("posit_id", "ok")
+
+
+def ledger_relinked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain without its fifth entry: the sixth has no entry before it."""
+    posits, entries = _chain(spark, sf_dir)
+    return ledger.checked(posits, entries.where("seq != 5")).select("posit_id", "ok")
+
+
 def certainty_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     script = "search +p [{(+d, language)}, +l, *], [{(p, posit), (*, ascertains)}, +c, *] return l, c;"
     found = Engine(store(spark, sf_dir, "language", "assertion")).run(script)[0].typed
@@ -154,7 +182,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_then_value": ask('search [{(+u, activity)}, "purchase", +t] as of @NOW return u, t;', "activity"),
     "asof_variable": ask('search [{(+u, activity)}, "signup", +s], [{(u, reading)}, +v, +t] as of s return u, s, v, t;', "activity", "reading"),
     "history_until_var": ask('search [{(+u, activity)}, "signup", +s], [{(u, reading)}, +v, +t] where t <= s return u, s, v, t;', "activity", "reading"),
-    "numeric_var_cmp": ask("search [{(+n, code)}, +a, *], [{(+r, zone)}, +b, *] where a < b return n, r, a, b;", "code", "zone"),
+    "numeric_var_cmp": ask("search [{(+p, size)}, +a, *], [{(+q, size)}, +b, *] where a < 3 and b > 48 and a < b return p, q, a, b;", "size"),
+    "int_literal": ask("search [{(+p, size)}, 42, *] return p;", "size"),
+    "dec_literal": ask("search [{(+p, price)}, 900.50, *] return p;", "price"),
+    "certainty_literal": ask("search [{(+p, posit), (*, ascertains)}, 100%, *] return p;", "assertion"),
+    "time_literal": ask("search [{(+o, ordered)}, '1996-09-17 00:00:00', *] return o;", "ordered"),
+    "time_value_where": ask("search [{(+o, ordered)}, +d, *] where d >= '1997-08' and d < '1997-09-15' return o, d;", "ordered"),
+    "wildcard_constant": ask("search [{(*, segment)}, +s, +t] where t = @BOT return s;", "segment"),
+    "shared_posit_var": ask("search +p [{(+c, buyer)}, +v, *], +p [{(+o, purchase)}, *, *] where v >= 200000 return p, c, o;", "purchase"),
+    "shared_time_var": ask("search [{(+c, buyer)}, +v, +t], [{(+o, purchase)}, *, +t] where t >= '1998-06' return c, o, v, t;", "purchase"),
+    "bitemporal_two_times": ask("search +p [{(+d, language)}, +l, *] as of @NOW, [{(p, posit), (+r, ascertains)}, +c, +at] as of '2024-06' return d, l, r, c, at;", "language", "assertion", "review"),
+    "script_scope": ask('search [{(+n, name)}, "FRANCE", *] return n; search [{(+c, resident), (n, country)}, *, *] return c, n;', "resident", "nation name"),
     "numeric_var_eq": ask("search [{(+n, code)}, +a, *], [{(+r, zone)}, +b, *] where a = b return n, r;", "code", "zone"),
     "mixed_number_cmp": ask("search [{(+p, size)}, +s, *], [{(p, price)}, +v, *] where v >= 1000 and s < v return p, s, v;", "size", "price"),
     "value_var_reuse": ask('search [{(+u, activity)}, +v, +t], [{(+w, activity)}, +v, *] where v = "signup" return u, w, t;', "activity"),
@@ -175,9 +213,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ledger_rowhash": ledger_rowhash,
     "ledger_chain": ledger_chain,
     "ledger_verify": ledger_verify,
+    "ledger_broken": ledger_broken,
+    "ledger_relinked": ledger_relinked,
+    "set_insert": set_insert,
+    "row_types": row_types,
 }
 
-T = {i: i * NS for i in range(1, 64)}
+T = {i: i * NS for i in range(1, 66)}
 STATES = f"SELECT DISTINCT o_custkey + {T[1]} AS c, o_orderstatus AS s, o_orderdate AS t FROM orders"
 SETS = f"SELECT user_id + {T[4]} AS thing FROM events WHERE event_type = 'error' {{op}} SELECT user_id + {T[4]} FROM events WHERE event_type IN ('purchase', 'view') AND value > 100"
 BOTH = f"SELECT s.user_id + {T[4]} AS u, s.ts AS s, r.value AS v, r.ts AS t FROM (SELECT * FROM events WHERE event_type = 'signup') s {{join}} (SELECT * FROM events WHERE event_type IN ('purchase', 'view')) r ON s.user_id = r.user_id AND s.ts >= r.ts"
@@ -206,7 +248,21 @@ ORACLE: dict[str, str] = {
     "snapshot_then_value": f"SELECT u, t FROM (SELECT user_id + {T[4]} AS u, event_type AS e, ts AS t FROM events QUALIFY rank() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1) WHERE e = 'purchase'",
     "asof_variable": BOTH.format(join="ASOF JOIN"),
     "history_until_var": BOTH.format(join="JOIN"),
-    "numeric_var_cmp": f"SELECT n_nationkey + {T[3]} AS n, r_regionkey + {T[6]} AS r, n_nationkey::BIGINT AS a, r_regionkey::BIGINT AS b FROM nation, region WHERE n_nationkey < r_regionkey",
+    "numeric_var_cmp": f"SELECT x.p_partkey + {T[7]} AS p, y.p_partkey + {T[7]} AS q, x.p_size::BIGINT AS a, y.p_size::BIGINT AS b FROM part x, part y WHERE x.p_size < 3 AND y.p_size > 48",
+    "int_literal": f"SELECT p_partkey + {T[7]} AS p FROM part WHERE p_size = 42",
+    "dec_literal": f"SELECT p_partkey + {T[7]} AS p FROM part WHERE p_retailprice = 900.5",
+    "certainty_literal": f"SELECT doc_id + {T[60]} AS p FROM labels WHERE quality = 1",
+    "time_literal": f"SELECT o_orderkey + {T[2]} AS o FROM orders WHERE o_orderdate = TIMESTAMP '1996-09-17'",
+    "time_value_where": f"SELECT o_orderkey + {T[2]} AS o, o_orderdate AS d FROM orders WHERE o_orderdate >= TIMESTAMP '1997-08-01' AND o_orderdate < TIMESTAMP '1997-09-15'",
+    "wildcard_constant": "SELECT c_mktsegment AS s FROM customer",
+    "shared_posit_var": f"SELECT o_orderkey + {T[51]} AS p, o_custkey + {T[1]} AS c, o_orderkey + {T[2]} AS o FROM orders WHERE o_totalprice >= 200000",
+    "shared_time_var": f"SELECT o_custkey + {T[1]} AS c, o_orderkey + {T[2]} AS o, o_totalprice AS v, o_orderdate AS t FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01'",
+    "bitemporal_two_times": f"SELECT d, l, {T[9] + 1} AS r, c, TIMESTAMP '2024-01-01' AS at FROM ({META}) UNION ALL SELECT d.doc_id + {T[8]}, d.lang, {T[9] + 2}, CASE WHEN toxic = 1 THEN -80 ELSE 80 END::INTEGER, TIMESTAMP '2024-03-01' FROM documents d JOIN labels USING (doc_id) WHERE d.doc_id % 2 = 0",
+    "script_scope": f"SELECT c_custkey + {T[1]} AS c, c_nationkey + {T[3]} AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'FRANCE'",
+    "ledger_broken": f"SELECT n_nationkey + {T[55]} AS posit_id, n_nationkey NOT IN (3, 11) AS ok FROM nation",
+    "ledger_relinked": f"SELECT n_nationkey + {T[55]} AS posit_id, rank() OVER (ORDER BY n_nationkey) <> 6 AS ok FROM nation QUALIFY rank() OVER (ORDER BY n_nationkey) <> 5",
+    "set_insert": f"SELECT user_id + {T[4]} AS thing FROM events WHERE event_type = 'error' UNION SELECT unnest([{T[4] - 1}, {T[4] - 2}])",
+    "row_types": f"SELECT p_partkey + {T[58]} AS p, 'Thing' AS p__type, p_size::VARCHAR AS v, 'i64' AS v__type, 'BOT' AS t, 'Time' AS t__type FROM part UNION ALL SELECT p_partkey + {T[59]}, 'Thing', rtrim(rtrim(p_retailprice::DECIMAL(18,4)::VARCHAR, '0'), '.'), 'Decimal', 'BOT', 'Time' FROM part",
     "numeric_var_eq": f"SELECT n_nationkey + {T[3]} AS n, r_regionkey + {T[6]} AS r FROM nation JOIN region ON n_nationkey = r_regionkey",
     "mixed_number_cmp": f"SELECT p_partkey + {T[7]} AS p, p_size::BIGINT AS s, p_retailprice AS v FROM part WHERE p_retailprice >= 1000 AND p_size < p_retailprice",
     "value_var_reuse": f"SELECT user_id + {T[4]} AS u, user_id + {T[4]} AS w, ts AS t FROM events WHERE event_type = 'signup'",
