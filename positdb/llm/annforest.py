@@ -1,25 +1,27 @@
 """Nearest neighbours by largest inner product with a hash-prefix forest.
 
-* Every tree hashes a vector to a long string of ``BITS`` signs of random projections and keeps the strings of its
-  vectors as a sorted array.  A query descends by binary search to the vectors that share the longest prefix with it,
-  whatever its length, in every tree; then all trees ascend together, one bit at a time, until the vectors that share a
-  prefix of the current length with the query in any tree are ``CANDIDATES`` or more.  Only whole prefix ranges are
-  taken, so equal vectors are candidates together.
-* Candidates are checked with exact inner products, summed in the order of the components.
+* Every tree hashes a vector's direction to a long string of ``BITS`` signs of random projections and keeps the strings of
+  its vectors as a sorted array.  The trees draw their projections from a pool of ``PLANES``, the first ones disjoint.
+* A query descends by binary search to the vectors that share the longest prefix with it, whatever its length, in every
+  tree; then all trees ascend together, one bit at a time, until the prefix ranges of all trees hold ``GATHERED`` entries
+  for every vector of the block, counted with repeats.
+* The share of trees in whose range a vector lies estimates its angle: at depth d it is (1 - angle / pi) ** d.  With its
+  norm that estimates the inner product.  The ``CANDIDATES`` vectors of the largest estimates, and all that tie with the
+  last, are checked with exact inner products, summed in the order of the components.
 * Rows are dealt to blocks of some ``BLOCK`` vectors, each with a forest of its own, and queries to chunks; a task
   takes one block and one chunk, so its memory is bounded at every size.  A query keeps its ``k`` best of each block,
   and of these its ``k`` best.
 
-Signs of projections order vectors by angle; vectors of very different norms are therefore scaled to a common norm
-with one more component before they are hashed (a norm of its own block), which turns angles into inner products.
+A block with no more vectors than candidates is checked wholly.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without id.
 Vectors of different dimensions are never compared.  Rows with a query's own id are not its candidates; other repeated
-rows count each.  With fewer candidates than ``k`` all are returned; without any, the query has no rows.  An empty table
-gives no rows.  Other columns are ignored.
+rows count each.  Rows that share a query's id share its ranks.  With fewer candidates than ``k`` all are returned; without
+any, the query has no rows.  An empty table gives no rows.  Other columns are ignored.
 """
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,61 +31,80 @@ from pyspark.sql import functions as F
 
 from positdb.llm.common import stored
 
-TREES, BITS = 72, 24
-BLOCK, CHUNK = 8192, 2048
-#: Distinct candidates of a query in a block at which the trees stop to ascend.
-CANDIDATES = 3500
+TREES, BITS, PLANES = 256, 24, 1024
+BLOCK, CHUNK = 8192, 16_384
+#: Entries, for each vector of a block, at which the trees stop to ascend, and vectors that are then checked.
+GATHERED, CANDIDATES = 6, 600
+#: Queries whose ranges are held at once.
+TOGETHER = 256
 
 
 @lru_cache(maxsize=4)
-def projections(dimension: int, trees: int, bits: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64([31, dimension])).standard_normal((dimension, trees * bits)).astype(np.float32)
+def projections(dimension: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([31, dimension])).standard_normal((dimension, PLANES)).astype(np.float32)
 
 
-def keys(vectors: np.ndarray, trees: int, bits: int) -> np.ndarray:
-    """Hash strings, first sign highest: vectors x trees."""
-    weight = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
-    out = np.empty((len(vectors), trees), dtype=np.int64)
+@lru_cache(maxsize=1)
+def planes_of_trees() -> np.ndarray:
+    """Trees x bits: numbers of planes.  Read bit by bit they run through permutations of the pool."""
+    draw = np.random.Generator(np.random.PCG64(37))
+    found = np.concatenate([draw.permutation(PLANES) for _ in range(-(-TREES * BITS // PLANES))])
+    return found[: TREES * BITS].reshape(BITS, TREES).T
+
+
+def keys(vectors: np.ndarray) -> np.ndarray:
+    """Hash strings, first sign highest: trees x vectors."""
+    out = np.empty((TREES, len(vectors)), dtype=np.int32)
+    at = planes_of_trees()
     for i in range(0, len(vectors), 1024):
-        signs = vectors[i : i + 1024].astype(np.float32) @ projections(vectors.shape[1], trees, bits) > 0
-        out[i : i + 1024] = signs.reshape(-1, trees, bits) @ weight
+        signs = (vectors[i : i + 1024].astype(np.float32) @ projections(vectors.shape[1]) > 0).T.astype(np.int32)
+        part = np.zeros((TREES, signs.shape[1]), dtype=np.int32)
+        for bit in range(BITS):
+            part = part << 1 | signs[at[:, bit]]
+        out[:, i : i + 1024] = part
     return out
 
 
 class Forest:
     """Sorted arrays of hash strings over the rows of one block."""
 
-    def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS) -> None:
-        self.trees, self.bits = trees, bits
-        norms = np.sqrt((vectors**2).sum(axis=1))
-        self.norm = float(norms.max())
-        more = np.sqrt(np.maximum(self.norm**2 - norms**2, 0))[:, None]
-        found = keys(np.hstack([vectors, more]), trees, bits)
-        self.order = np.argsort(found, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(found, self.order.T, axis=0).T.copy()
-
-    def candidates(self, queries: np.ndarray, enough: int):
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.norms = np.sqrt((vectors**2).sum(axis=1))
+        found = keys(vectors)
+        self.order = np.argsort(found, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(found, self.order, axis=1)
+
+    def ranges(self, strings: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the rows that share the first ``depth`` bits with each query begin and end: trees x queries."""
+        shift = (BITS - depth).astype(np.int32)
+        low = strings >> shift << shift
+        high = low + (np.int32(1) << shift)
+        left, right = np.empty(low.shape, dtype=np.int32), np.empty(low.shape, dtype=np.int32)
+        for t in range(TREES):
+            left[t], right[t] = np.searchsorted(self.sorted[t], low[t]), np.searchsorted(self.sorted[t], high[t])
+        return left, right
+
+    def candidates(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
         """Row numbers, ascending, for each query in turn."""
-        n = self.order.shape[1]
-        found = keys(np.hstack([queries, np.zeros((len(queries), 1))]), self.trees, self.bits)
-        left = np.zeros((self.bits + 1, len(queries), self.trees), dtype=np.int32)
-        right = np.full_like(left, n)
-        for t in range(self.trees):
-            for depth in range(1, self.bits + 1):
-                low = found[:, t] >> (self.bits - depth) << (self.bits - depth)
-                left[depth, :, t] = np.searchsorted(self.sorted[t], low)
-                right[depth, :, t] = np.searchsorted(self.sorted[t], low + (1 << (self.bits - depth)))
-        total = (right - left).sum(axis=2)
-        for q in range(len(queries)):
-            seen = np.zeros(n, dtype=bool)
-            for depth in range(self.bits, -1, -1):  # all trees ascend together
-                if depth and total[depth, q] < min(enough, n):
-                    continue  # too few even if all were distinct
-                for t in range(self.trees if depth else 1):
-                    seen[self.order[t, left[depth, q, t] : right[depth, q, t]]] = True
-                if not depth or np.count_nonzero(seen) >= enough:
-                    break
-            yield np.flatnonzero(seen)
+        n = len(self.norms)
+        if n <= enough:
+            yield from (np.arange(n) for _ in queries)
+            return
+        for first in range(0, len(queries), TOGETHER):
+            strings = keys(queries[first : first + TOGETHER])
+            # All trees of a query ascend together; the depth at which they stop is found by bisection.
+            few, depth = np.full(strings.shape[1], BITS + 1), np.zeros(strings.shape[1], dtype=int)
+            while (few - depth > 1).any():
+                middle = (few + depth) // 2
+                left, right = self.ranges(strings, middle)
+                reached = (right - left).sum(axis=0, dtype=np.int64) >= GATHERED * n
+                few, depth = np.where(reached, few, middle), np.where(reached, middle, depth)
+            left, right = self.ranges(strings, depth)
+            for k, d in enumerate(depth.tolist()):
+                entries = np.concatenate([rows[a:b] for rows, a, b in zip(self.order, left[:, k].tolist(), right[:, k].tolist())])
+                cosine = np.cos(np.pi * (1 - (np.arange(TREES + 1) / TREES) ** (1 / max(1, d))))
+                estimate = self.norms * cosine[np.bincount(entries, minlength=n)]
+                yield np.flatnonzero(estimate >= np.partition(estimate, n - enough)[n - enough])
 
 
 def best_of_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, candidates: int) -> pd.DataFrame:
