@@ -3,11 +3,13 @@
 1. Tokenise every text, add the end id, cut what is longer than the capacity; the pieces are written to the shared
    folder (they are small: no token ids, only their checksum).
 2. The histogram of piece lengths (at most ``capacity`` rows, whatever the input) goes to the driver.
-3. ``plan`` solves the configuration program over it: multiplicative weights price the lengths, a knapsack dynamic
-   program finds the configuration (a multiset of lengths that fits) of the highest price, and the fractional solution
-   is rounded down.  What rounding leaves is filled by exact subset sums, longest piece first.
+3. ``plan`` solves the configuration program over it (a configuration is a multiset of lengths that fits).  Every length
+   has a weight, which falls by a factor for each part of its pieces that is covered.  A knapsack dynamic program finds
+   the configuration of the highest price, it is taken as often, in fractions, as its scarcest length allows, and so on
+   until all pieces are covered.  The fractional solution is rounded down, never beyond what is left, and what rounding
+   leaves is a smaller program of the same kind.  Every sequence comes from a rounded configuration.
 4. The plan is a list of runs "pieces of this length with ranks s..e sit in sequences from b on": at most some
-   thousand rows, as each configuration uses up a length or stems from one of ``ITERATIONS``.  Every piece finds its
+   thousand rows, as each configuration uses up a length.  Every piece finds its
    place from its rank among the pieces of its length, which is dealt by (length, bucket) so that a hot length
    spreads over ``BUCKETS`` tasks.
 
@@ -26,8 +28,11 @@ from pyspark.sql import functions as F
 
 from positdb.llm.common import map_arrow, stored, utf8
 
-#: Pricing rounds of the multiplicative-weights solver.
-ITERATIONS = 150
+#: A weight falls by the factor exp(-FALL) while all its length's pieces are covered; a piece that fills a sequence is
+#: worth 1 + LONG times its length, as short ones are easier to place later.
+FALL, LONG = 0.5, 1.0
+#: Lengths that are priced first: half of them those of the highest weight.  All are where these don't fill a sequence.
+PRICED, FULL = 192, 0.999
 #: Groups that the pieces of one length are dealt to when they are ranked.
 BUCKETS = 1024
 #: Remembered chunks of a worker; beyond that it starts anew.
@@ -107,98 +112,70 @@ def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None, capacit
 
 
 def best_configuration(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack dynamic program over capacities: the multiset of lengths with the highest sum of prices.
+    """Bounded knapsack dynamic program: the multiset of lengths, at most ``most`` of each, with the highest sum of prices.
 
-    A length may occur ``most`` times; the program is run without that bound and the excess is cut off afterwards,
-    which keeps the configuration feasible.
+    A number of pieces of one length is a sum of powers of two and a rest, each of which is taken or not.
     """
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    top = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for w in range(1, capacity + 1):
-        best[w] = best[w - 1]
-        if k := top[w]:
-            value = best[w - lengths[:k]] + prices[:k]
-            j = int(value.argmax())
-            if value[j] > best[w]:
-                best[w], take[w] = value[j], j
+    items = []
+    for j, (x, m) in enumerate(zip(lengths.tolist(), most.tolist())):
+        m, k = min(m, capacity // x), 1
+        while m > 0:
+            items.append((j, min(k, m), min(k, m) * x))
+            m, k = m - k, 2 * k
+    best, room = np.zeros(capacity + 1), np.empty(capacity + 1)
+    taken = np.zeros((len(items), capacity + 1), dtype=bool)
+    for i, (j, k, size) in enumerate(items):
+        value = np.add(best[: capacity + 1 - size], k * prices[j], out=room[: capacity + 1 - size])
+        np.greater(value, best[size:], out=taken[i, size:])
+        np.maximum(best[size:], value, out=best[size:])
     out: dict[int, int] = {}
     w = capacity
-    while w > 0:
-        if take[w] < 0:
-            w -= 1
-            continue
-        j = int(take[w])
-        if out.get(j, 0) < most[j]:
-            out[j] = out.get(j, 0) + 1
-        w -= int(lengths[j])
+    for i in range(len(items) - 1, -1, -1):
+        if taken[i, w]:
+            j, k, size = items[i]
+            out[j] = out.get(j, 0) + k
+            w -= size
     return out
 
 
-def fill(lengths: list[int], left: dict[int, int], capacity: int) -> dict[int, int]:
-    """The longest length left, and of the rest the subset sum that fills the sequence best; longer ones first."""
-    first = max(x for x in lengths if left[x])
-    room, out = capacity - first, {first: 1}
-    every, seen, sums = (1 << (room + 1)) - 1, [], 1
-    for x in lengths:  # descending
-        n = min(left[x] - (x == first), room // x)
-        k = 1
-        while n > 0:
-            m = min(k, n)
-            seen.append((x, m, sums))
-            sums |= (sums << (x * m)) & every
-            n, k = n - m, 2 * k
-        if sums >> room & 1:
-            break
-    at = sums.bit_length() - 1
-    for x, m, before in reversed(seen):
-        if not before >> at & 1:
-            out[x] = out.get(x, 0) + m
-            at -= x * m
+def fractional(left: dict[int, int], capacity: int) -> dict[tuple[tuple[int, int], ...], float]:
+    """How often each configuration ((length, times), ...) is taken so that all pieces are covered."""
+    lengths = np.array(sorted(left), dtype=np.int64)
+    counts = np.array([left[x] for x in lengths.tolist()], dtype=float)
+    part, rest, weights = lengths / capacity, counts.copy(), np.ones(len(lengths))
+    out: dict[tuple[tuple[int, int], ...], float] = {}
+    while len(live := np.flatnonzero(rest >= 1)):
+        price = weights * part * (1 + LONG * part)
+        dear = live[np.argsort(-(price / part)[live], kind="stable")[: PRICED // 2]]
+        some = np.union1d(dear, live[np.linspace(0, len(live) - 1, PRICED // 2).astype(np.int64)])
+        for at in (some, live):
+            found = best_configuration(lengths[at], price[at], rest[at].astype(np.int64), capacity)
+            if len(at) == len(live) or sum(int(lengths[at[j]]) * m for j, m in found.items()) >= FULL * capacity:
+                break
+        j, times = at[sorted(found)], np.array([found[k] for k in sorted(found)])
+        step = float((rest[j] / times).min())
+        key = tuple(zip(lengths[j].tolist(), times.tolist()))
+        out[key] = out.get(key, 0.0) + step
+        rest[j] -= step * times
+        weights[j] *= np.exp(-FALL * step * times / counts[j])
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, iterations: int = ITERATIONS) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Configurations {length: times} with the number of sequences that use each; together they hold all pieces."""
-    left = {int(x): int(n) for x, n in sorted(histogram.items(), reverse=True) if n > 0}
+    left = {int(x): int(n) for x, n in histogram.items() if n > 0}
     out: list[tuple[dict[int, int], int]] = []
     if left.get(capacity):
         out.append(({capacity: 1}, left.pop(capacity)))
-    if not left:
-        return out
-    lengths = np.array(sorted(left), dtype=np.int64)
-    counts = np.array([left[x] for x in lengths], dtype=float)
-    most = np.maximum(counts, 1)
-    # Fractional covering of all lengths.  Prices in proportion to the length are the dual solution wherever sequences
-    # can be filled wholly; weights fall by a factor for each part of a length's pieces that is covered.
-    weights, covered = lengths / capacity, np.zeros(len(lengths))
-    chosen: dict[tuple[tuple[int, int], ...], float] = {}
-    step = 0.5
-    for _ in range(iterations):
-        found = best_configuration(lengths, weights, most, capacity)
-        if not found:
-            break
-        j, times = np.array(list(found)), np.array(list(found.values()), dtype=float)
-        amount = step * float((counts[j] / times).min())
-        key = tuple(sorted((int(lengths[a]), int(b)) for a, b in found.items()))
-        chosen[key] = chosen.get(key, 0.0) + amount
-        share = amount * times / counts[j]
-        covered[j] += share
-        weights[j] *= np.exp(-0.1 * share)
-    # Round down, never beyond what is left.
-    for key, amount in sorted(chosen.items(), key=lambda x: (-x[1], x[0])):
-        n = min([int(amount), *(left[x] // m for x, m in key)])
-        if n > 0 and sum(x * m for x, m in key) >= 0.995 * capacity:
-            out.append((dict(key), n))
-            for x, m in key:
-                left[x] -= n * m
-    order = sorted(left, reverse=True)
-    while any(left.values()):
-        order = [x for x in order if left[x]]
-        found = fill(order, left, capacity)
-        n = min(left[x] // m for x, m in found.items())
-        out.append((found, n))
-        for x, m in found.items():
-            left[x] -= n * m
+    while left:
+        # Every configuration is taken once at least, so every round places some.
+        for key, amount in sorted(fractional(left, capacity).items(), key=lambda x: (-x[1], x[0])):
+            n = min([int(amount + 1e-9), *(left[x] // m for x, m in key)])
+            if n > 0:
+                out.append((dict(key), n))
+                for x, m in key:
+                    left[x] -= n * m
+        left = {x: n for x, n in left.items() if n}
     return out
 
 
