@@ -4,14 +4,17 @@
 2. Targets: sources weigh by a repeating pattern and share all words; a target stops at ``most_repeats`` times the
    source's words and the excess is shared anew.  In closed form: with sources sorted by words / weight, the stopped
    ones are a prefix, found from running sums.
-3. The mix consists of blocks of ``block`` words.  Blocks go to the sources, and each source's blocks to its shards,
+3. The mix consists of equal blocks of words, ``block`` or so few that the smallest target has ``FINE`` of them (one word at
+   least), so that small sources come near their targets too.  Blocks go to the sources, and each source's blocks to its shards,
    by highest quotients v / (2k + 1).  ``apportion`` finds the divisor at which the rounded seats fit by bisection,
    then gives the last seats by their quotients, so the work grows with the parties, not with the seats.
 4. In a shard, documents lie in seeded order and are cut into equal blocks.  A quota takes every block as often as it
    goes in whole, and the rest as a run of blocks from a seeded start on, cyclically.  What a document gives is the
    overlap with its words: no row is made for a block.
 
-A source holding a third of all rows is spread over ``shards`` groups.  Null texts have 0 words; null sources form a
+A source holding a third of all rows is spread over the shards, ``shards`` or more, so that a shard has some
+``SHARD_ROWS`` rows of it at most.  Two steps are held by one task: the table of sources, a row each, and the list of one
+source's shards, two numbers each.  Null texts have 0 words; null sources form a
 source of their own, last; repeated rows are taken for documents of their own; an empty table gives an empty result.
 Other columns are ignored.
 """
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from positdb.llm.common import WORD_PATTERN, stored
 
 WEIGHTS = (5, 2, 1)
+#: Blocks that the smallest target has at least, and rows of a source in a shard, more or less.
+FINE, SHARD_ROWS = 64, 50_000
 
 
 def apportion(df: DataFrame, group: list[str], party: str, votes: str, seats: str) -> DataFrame:
@@ -62,6 +67,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most_repeats: float)
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_repeats: int = 3, block: int = 32, shards: int = 512, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carried: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, taken (words the mix takes, repeats counted), ``carried``."""
+    shards = max(shards, -(-docs.count() // SHARD_ROWS))
     slim = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
@@ -74,7 +80,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_repeats: int
     parts = slim.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
     parts = stored(parts, "shards")
     sources = parts.groupBy("key").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
-    sources = targets(sources, weights, most_repeats)
+    sources = stored(targets(sources, weights, most_repeats), "targets")
+    least = sources.where("target > 0").agg(F.min("target").alias("t")).first().t
+    block = max(1, min(block, int((least or 0) // FINE)))
     every = F.sum("source_size").over(Window.partitionBy())
     sources = apportion(sources.withColumn("one", F.lit(1)).withColumn("m", F.round(every / block).cast("long")), ["one"], "key", "target", "m")
     sources = stored(sources.select("key", "source_size", "target", F.col("quota").alias("blocks")), "sources")
