@@ -1,10 +1,11 @@
 """Exact deduplication by a log-structured merge index of digests, in DataFrame operations only.
 
-* Memtables: entries (digest, id) of a batch are combined in the tasks' hash tables (partial aggregation), so that a
-  text with any number of copies leaves one entry a task.
-* Flush: every memtable becomes a run, Parquet files sorted by digest with a Bloom filter and min/max statistics on
-  it, which point lookups (``LogStructuredIndex.lookup``) consult before they read a run.
-* Compaction merges runs by digest and keeps the smallest (or largest) identifier and the number of entries.
+* Memtables: entries (digest, id) come in batches of some ``BATCH_ROWS``.  Those of a batch are combined in the tasks' hash
+  tables (partial aggregation), so that a text with any number of copies leaves one entry a task.
+* Flush: every memtable becomes a run of level 0, Parquet files sorted by digest with a Bloom filter and min/max statistics
+  on it, which point lookups (``LogStructuredIndex.lookup``) consult before they read a run.
+* Compaction merges runs by digest and keeps the smallest (or largest) identifier and the number of entries.  ``FANOUT`` runs
+  of a level become one of the next, so an entry is rewritten a logarithmic number of times; at the end all become one.
 * Hits, digests with several entries, receive byte verification: their texts are read again and grouped by the text
   itself, so two texts that share a digest are never taken for copies.
 
@@ -27,6 +28,8 @@ from positdb.llm.common import new_folder, stored
 
 #: Memtables that one batch is dealt to; each becomes a run.
 MEMTABLES = 4
+#: Entries of a batch, more or less, and runs of a level that are merged into one of the next.
+BATCH_ROWS, FANOUT = 50_000_000, 4
 #: Rows up to which found groups are broadcast: about 60 bytes each.
 BROADCAST_ROWS = 500_000
 #: Filters on the digests of a run's files, as large as the number of digests in the file asks for.
@@ -34,16 +37,20 @@ FILTER = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.a
 
 
 class LogStructuredIndex:
-    """Runs of (digest, id, entries) in a folder that all executors share."""
+    """Runs of (digest, id, entries) in a folder that all executors share, by levels."""
 
-    def __init__(self, spark: SparkSession, folder: str, keep: str = "smallest") -> None:
+    def __init__(self, spark: SparkSession, folder: str, keep: str = "smallest", fanout: int = FANOUT) -> None:
         if keep not in ("smallest", "largest"):
             raise ValueError("keep is 'smallest' or 'largest'")
-        self.spark, self.folder, self.runs = spark, folder, 0
+        self.spark, self.folder, self.fanout, self.runs = spark, folder, fanout, 0
         self.best = F.min if keep == "smallest" else F.max
-        self.paths: list[str] = []
+        self.levels: list[list[str]] = [[]]
         self.kind = "long"
 
+    @property
+    def paths(self) -> list[str]:
+        return [p for level in self.levels for p in level]
+
     def _write(self, merged: DataFrame) -> str:
         path = f"{self.folder}/run-{self.runs:05d}"
         self.runs += 1
@@ -51,23 +58,30 @@ class LogStructuredIndex:
         return path
 
     def flush(self, entries: DataFrame, memtables: int = MEMTABLES) -> None:
-        """Add a batch of (digest, id); it becomes sorted runs, one for each memtable."""
+        """Add a batch of (digest, id); it becomes sorted runs, one for each memtable.  Full levels are merged."""
         dealt = entries.withColumn("memtable", F.pmod(F.xxhash64("digest"), F.lit(memtables)))
         self.kind = entries.schema["id"].dataType.simpleString()
         merged = dealt.groupBy("memtable", "digest").agg(self.best("id").alias("id"), F.count(F.lit(1)).alias("entries"))
         path = f"{self.folder}/flush-{self.runs:05d}"
         self.runs += 1
         merged.sortWithinPartitions("memtable", "digest").write.partitionBy("memtable").options(**FILTER).parquet(path)
-        self.paths.append(path)
-
-    def entries(self) -> DataFrame:
-        found = [self.spark.read.schema(f"digest binary, id {self.kind}, entries long").parquet(p) for p in self.paths]
+        self.levels[0].append(path)
+        for k in range(len(self.levels)):
+            if len(self.levels[k]) >= self.fanout:
+                merged, self.levels[k] = self._write(self.merged(self.levels[k])), []
+                self.levels[k + 1 :] = self.levels[k + 1 :] or [[]]
+                self.levels[k + 1].append(merged)
+
+    def entries(self, paths: list[str] | None = None) -> DataFrame:
+        found = [self.spark.read.schema(f"digest binary, id {self.kind}, entries long").parquet(p) for p in paths or self.paths]
         return reduce(DataFrame.union, found)
 
+    def merged(self, paths: list[str]) -> DataFrame:
+        return self.entries(paths).groupBy("digest").agg(self.best("id").alias("id"), F.sum("entries").alias("entries"))
+
     def compact(self) -> DataFrame:
         """Merge all runs into one: a row a digest, with the id that stays."""
-        merged = self.entries().groupBy("digest").agg(self.best("id").alias("id"), F.sum("entries").alias("entries"))
-        self.paths = [self._write(merged)]
+        self.levels = [[], [self._write(self.merged(self.paths))]]
         return self.entries()
 
     def lookup(self, digests: list[bytes]) -> DataFrame:
@@ -84,13 +98,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, keep: str = "smallest", batch_rows: int = BATCH_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", digest_of(F.col("text")))
     log = stored(texts.select("id", "digest"), "digests")
     index = LogStructuredIndex(spark, new_folder(spark, "index"), keep)
-    index.flush(log)
+    batches = max(1, -(-log.count() // batch_rows))
+    for k in range(batches):
+        index.flush(log.where(F.pmod(F.xxhash64(F.lit(1), "id", "digest"), F.lit(batches)) == k) if batches > 1 else log)
     copied = index.compact().where("entries > 1").select("digest")
     hits = texts.join(small(copied, copied.count()), "digest", "left_semi")
     # Byte verification: groups are made by the text itself.
