@@ -30,9 +30,9 @@ from positdb.llm.common import map_arrow, stored, utf8
 
 #: A weight falls by the factor exp(-FALL) while all its length's pieces are covered; a piece that fills a sequence is
 #: worth 1 + LONG times its length, as short ones are easier to place later.
-FALL, LONG = 0.5, 1.0
+FALL, LONG = 0.5, 0.3
 #: Lengths that are priced first: half of them those of the highest weight.  All are where these don't fill a sequence.
-PRICED, FULL = 192, 0.999
+PRICED = 192
 #: Groups that the pieces of one length are dealt to when they are ranked.
 BUCKETS = 1024
 #: Remembered chunks of a worker; beyond that it starts anew.
@@ -150,7 +150,7 @@ def fractional(left: dict[int, int], capacity: int) -> dict[tuple[tuple[int, int
         some = np.union1d(dear, live[np.linspace(0, len(live) - 1, PRICED // 2).astype(np.int64)])
         for at in (some, live):
             found = best_configuration(lengths[at], price[at], rest[at].astype(np.int64), capacity)
-            if len(at) == len(live) or sum(int(lengths[at[j]]) * m for j, m in found.items()) >= FULL * capacity:
+            if len(at) == len(live) or sum(int(lengths[at[j]]) * m for j, m in found.items()) == capacity:
                 break
         j, times = at[sorted(found)], np.array([found[k] for k in sorted(found)])
         step = float((rest[j] / times).min())
