@@ -30,6 +30,8 @@ SAMPLE_BYTES = 24 << 20
 #: Bytes of the dictionaries that tell the labels apart, and of the common one.
 DICTIONARY, COMMON = 32_768, 1 << 20
 LEVEL = 9
+#: Bytes of the segments that training picks for either: left to its own choice it may return a much smaller dictionary.
+SEGMENTS = (100, 500)
 #: Bytes of text a window, words a sample that dictionaries are trained on.
 WINDOW, TRAINED = 14, 40
 THRESHOLDS = (2, 3, 4, 6)
@@ -51,13 +53,13 @@ def windows(text: bytes) -> list[bytes]:
     return [*out, b" ".join(run)] if run else out
 
 
-def train(texts: list[bytes], size: int) -> bytes:
+def train(texts: list[bytes], size: int, segment: int) -> bytes:
     """A dictionary trained on the texts in pieces, or the texts themselves where they are too few to train on."""
     import zstandard
 
     pieces = [b" ".join(words[i : i + TRAINED]) for words in (t.lower().split() for t in texts) for i in range(0, len(words), TRAINED)]
     try:
-        return zstandard.train_dictionary(min(size, sum(map(len, pieces)) // 4), pieces).as_bytes()
+        return zstandard.train_dictionary(min(size, sum(map(len, pieces)) // 4), pieces, k=segment, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b" ".join(pieces)[-size:]
 
@@ -116,7 +118,7 @@ def learn(toxic: list[bytes], ordinary: list[bytes], counts: tuple[int, int] | N
         checked = (toxic[:a], ordinary[:b])
     own, rest = toxic[a:], ordinary[b:]
     like = min(len(own), max(1, len(rest) // 2))
-    dictionaries = train(own, DICTIONARY), train(rest[:like], DICTIONARY), train(rest[like:], COMMON)
+    dictionaries = train(own, DICTIONARY, SEGMENTS[0]), train(rest[:like], DICTIONARY, SEGMENTS[0]), train(rest[like:], COMMON, SEGMENTS[1])
     distances = Distances(*dictionaries)
     x = np.array([features(distances.of(t)) for side in checked for t in side])
     y = np.repeat([1.0, 0.0], [len(checked[0]), len(checked[1])])
