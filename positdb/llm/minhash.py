@@ -27,8 +27,9 @@ some ``SALTED`` members, so a task holds one such set and one batch.  Bucket sta
 on buckets and ids are plain equi-joins that adaptive execution can split, and nothing but row counts reaches the driver.
 
 Null texts and texts without words have the empty set: size 0, linked with nothing.  With fewer words than a shingle
-takes, the whole sequence is the one shingle.  Rows that share an id are taken for one document's copies; rows without
-id are linked with nothing and stand alone.  An empty table gives an empty result.  Other columns are ignored.
+takes, the whole sequence is the one shingle.  Rows that share an id are taken for one document's copies.  A row without id
+has the component of rows with an equal set, if one of these has an id, and is linked with nothing else.  An empty table
+gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -78,15 +78,40 @@ def test_plan_holds_everything_and_is_near_the_bound(seed):
     assert bound <= used <= bound + 1 + bound // 200
 
 
-def test_knapsack_is_optimal_without_bounds():
+@pytest.mark.parametrize("kind", ["exponential", "uniform", "long"])
+def test_rounded_configurations_of_many_pieces(kind):
+    """50 000 pieces: every sequence comes from the program; within 1 of the bound where sequences can be filled,
+    else as few as best-fit decreasing makes, or 0.05 % more."""
+    rnd = random.Random(1)
+    draw = {"exponential": lambda: min(2047, int(rnd.expovariate(1 / 400)) + 1), "uniform": lambda: rnd.randint(1, 2047), "long": lambda: rnd.randint(500, 1500)}[kind]
+    histogram = Counter(draw() for _ in range(50_000))
+    plan = packing.plan(histogram, 2048)
+    held = Counter()
+    for found, n in plan:
+        assert sum(x * m for x, m in found.items()) <= 2048
+        for x, m in found.items():
+            held[x] += n * m
+    used, bound = sum(n for _, n in plan), math.ceil(sum(x * n for x, n in histogram.items()) / 2048)
+    # Best-fit decreasing of the same pieces, for where the bound can't be reached.
+    bins = [0] * 2049
+    for x in sorted(histogram.elements(), reverse=True):
+        room = next((r for r in range(x, 2049) if bins[r]), 0)
+        bins[room] -= bool(room)
+        bins[(room or 2048) - x] += 1
+    assert held == histogram and used <= max(bound + 1, 1.0005 * sum(bins))
+
+
+def test_knapsack_is_optimal():
     rnd = random.Random(4)
-    lengths = np.array(sorted(rnd.sample(range(2, 30), 6)))
-    prices = np.array([rnd.random() * x for x in lengths])
-    best = [0.0] * 41
-    for w in range(1, 41):
-        best[w] = max([best[w - 1], *(best[w - x] + p for x, p in zip(lengths, prices) if x <= w)])
-    found = packing.best_configuration(lengths, prices, np.full(6, 99), 40)
-    assert sum(prices[j] * m for j, m in found.items()) == pytest.approx(best[40])
+    for most in (99, 2):
+        lengths = np.array(sorted(rnd.sample(range(2, 30), 6)))
+        prices = np.array([rnd.random() * x for x in lengths])
+        best = [0.0] * 41
+        for x, p in zip(lengths.tolist(), prices.tolist()):
+            for _ in range(min(most, 40 // x)):
+                best = [max(best[w], best[w - x] + p if w >= x else 0.0) for w in range(41)]
+        found = packing.best_configuration(lengths, prices, np.full(6, most), 40)
+        assert sum(prices[j] * m for j, m in found.items()) == pytest.approx(max(best)) and max(found.values()) <= most
 
 
 # -- near duplicates -----------------------------------------------------------------------------------------------
@@ -138,6 +163,28 @@ def test_near_duplicate_chain_and_large_group(spark):
     assert minhash.near_duplicates(table(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("rounds", [1, 8])
+def test_documents_around_a_passage(spark, monkeypatch, rounds):
+    """Many are nearly similar enough, some pairs are, and few of these meet at a hub: the exact filter finds the others."""
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    rnd = random.Random(21)
+    found = []
+    for group in range(2):
+        passage = [f"p{group}x{i}" for i in range(70)]
+        for i in range(45):
+            words_ = passage[:]
+            for _ in range(rnd.randint(1, 9)):  # changes that others may share
+                at = rnd.randrange(70)
+                words_[at] = f"q{group}x{at}x{rnd.randrange(2)}"
+            found.append((1000 * group + i, " ".join(words_ + [f"own{rnd.randrange(40)}" for _ in range(rnd.randint(0, 4))]), "en", "a", 0))
+    found += [(None, found[3][1], "en", "a", 0), (None, "nobody else says this", "en", "a", 0)]
+    want = brute_components([r for r in found if r[0] is not None], 2)
+    assert 10 < len({c for _, c, _ in want.values()}) < 80
+    got = minhash.near_duplicates(table(spark, found), width=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == want
+    assert sorted((r.component_id is None, r.kept) for r in got if r.doc_id is None) == [(False, False), (True, True)]
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r.id: r.component for r in minhash.components(links).collect()}
@@ -166,6 +213,17 @@ def test_exact_dedup(spark, keep, best):
     assert exactdedup.exact_dedup(table(spark, []), keep).collect() == []
 
 
+def test_exact_dedup_in_many_batches(spark):
+    """Batches of some ten rows: copies meet across runs and levels."""
+    assert sorted(map(tuple, exactdedup.exact_dedup(table(spark), "smallest", batch_rows=10).collect())) == brute_exact(rows(), min)
+
+
+def test_rows_without_id_never_stay_beside_others(spark):
+    found = [(None, "a", "en", "s", 0), (4, "a", "en", "s", 0), (None, "b", "en", "s", 0), (None, "b", "en", "s", 0), (9, "c", "en", "s", 0)]
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exactdedup.exact_dedup(table(spark, found), "largest").collect())
+    assert got == [("4", "4", 2, True), ("9", "9", 1, True), ("None", "4", 2, False), ("None", "None", 2, True), ("None", "None", 2, True)]
+
+
 def test_texts_of_one_digest_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(exactdedup, "digest_of", lambda text: F.unhex(F.sha2(F.substring(text, 1, 2).cast("binary"), 256)))
     got = sorted(tuple(r)[:4] for r in exactdedup.exact_dedup(table(spark), "smallest").collect())
@@ -173,10 +231,10 @@ def test_texts_of_one_digest_are_told_apart(spark, monkeypatch):
 
 
 def test_index_merges_runs_and_looks_up(spark, tmp_path):
-    index = exactdedup.LogStructuredIndex(spark, f"file://{tmp_path}/index")
+    index = exactdedup.LogStructuredIndex(spark, f"file://{tmp_path}/index", fanout=2)
     for k in range(3):
         index.flush(spark.createDataFrame([(bytes([i]), 100 * k + i) for i in range(k, 10)], "digest binary, id long"))
-    assert len(index.paths) == 3
+    assert [len(level) for level in index.levels] == [1, 1]  # two runs were merged, the third waits
     got = {bytes(r.digest): (r.id, r.entries) for r in index.compact().collect()}
     assert got == {bytes([i]): (i, min(i, 2) + 1) for i in range(10)} and len(index.paths) == 1
     assert [r.id for r in index.lookup([bytes([4])]).collect()] == [4]
@@ -241,6 +299,17 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, [])).collect() == []
 
 
+def test_small_sources_come_near_their_targets(spark):
+    found = [(i, " ".join(["w"] * n), "en", s, 0) for i, (s, n) in enumerate([("a", 4), ("a", 6), ("b", 5), ("c", 2), ("c", 3), ("d", 0), ("e", 900)])]
+    got = mixing.mix(table(spark, [*found, (None, "two words", "en", None, 0)])).collect()
+    taken, target = Counter(), {}
+    for r, (_, t, _, s, _) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id)), [*found, (None, "two words", "en", None, 0)]):
+        taken[s] += r.taken
+        target[s] = r.target
+    assert sum(target.values()) == pytest.approx(922) and target["d"] == 0
+    assert all(abs(taken[s] - t) <= 1 + t / 50 for s, t in target.items()), (taken, target)
+
+
 # -- nearest neighbours --------------------------------------------------------------------------------------------
 def test_nearest_is_exact_where_all_are_candidates(spark):
     rng = np.random.default_rng(2)
@@ -260,19 +329,54 @@ def test_nearest_is_exact_where_all_are_candidates(spark):
     assert annforest.nearest(df.limit(0), F.col("id") % 20 == 0).collect() == []
 
 
-def test_forest_recall():
-    rng = np.random.default_rng(3)
-    v = rng.standard_normal((8000, 64))
-    v[::4] = v[rng.integers(0, 40, 2000)] + 0.8 * rng.standard_normal((2000, 64))
-    v *= rng.uniform(0.5, 2, (8000, 1))
-    ids, asked = np.arange(8000), np.arange(0, 8000, 160)
-    got = annforest.best_of_block(v, ids, v[asked], asked, 20, annforest.CANDIDATES).groupby("query_id").vec_id.apply(set)
+def vectors_of(kind, n, dimension=64, seed=3):
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((n, dimension))
+    if kind == "clustered":
+        v = v[rng.integers(0, max(2, n // 200), n)] + 0.05 * v
+    if kind == "norms":
+        v *= np.exp(0.5 * rng.standard_normal((n, 1)))
+    return v
+
+
+def recall(v, found, k=20):
     hits = 0
-    for q in asked:
+    for q, at in found.items():
         score = v @ v[q]
         score[q] = -np.inf
-        hits += len(got[q] & set(np.argsort(-score)[:20]))
-    assert hits / (20 * len(asked)) >= 0.9
+        hits += len(set(at) & set(np.argsort(-score)[:k].tolist()))
+    return hits / (k * len(found))
+
+
+@pytest.mark.parametrize("kind", ["unstructured", "clustered", "norms"])
+def test_forest_recall(kind):
+    """At most a tenth of a block is checked."""
+    v = vectors_of(kind, annforest.BLOCK)
+    asked = np.arange(0, len(v), 160)
+    found = dict(zip(asked.tolist(), annforest.Forest(v).candidates(v[asked], annforest.CANDIDATES)))
+    assert np.mean([len(at) for at in found.values()]) <= 0.1 * len(v)
+    assert recall(v, {q: at.tolist() for q, at in found.items()}) >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["unstructured", "clustered", "norms"])
+def test_nearest_over_blocks_and_chunks(spark, kind):
+    """Nine blocks, three chunks, 15 candidates of a hundred in each block; two dimensions are kept apart, null ids take no part."""
+    v = vectors_of(kind, 4500)
+    more = [(None, v[0].tolist()), *((i, [1.0] * 8) for i in range(10_000, 10_030))]
+    df = spark.createDataFrame([*enumerate(v.tolist()), *more], "vec_id long, embedding array<double>").repartition(3)
+    got, dims = defaultdict(list), set()
+    for r in annforest.nearest(df, F.col("id") % 20 == 0, block=500, chunk=90, candidates=75).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+        dims.add((r.query_id < 10_000, r.vec_id < 10_000))
+    assert set(got) == {*range(0, 4500, 20), 10_000, 10_020} and dims == {(True, True), (False, False)}
+    assert got[10_020] == [i for i in range(10_000, 10_030) if i != 10_020][:20]  # ties go to smaller ids
+    assert recall(v, {q: at for q, at in got.items() if q < 10_000}) >= 0.9
+
+
+def test_repeated_rows_are_candidates_each(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0])] + [(1, [2.0, 1.0])] * 3 + [(2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = annforest.nearest(df, F.col("id") % 20 == 0, k=3).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, k, 1, 2.0) for k in (1, 2, 3)]
 
 
 # -- classifiers ---------------------------------------------------------------------------------------------------
