@@ -31,8 +31,9 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Folders that this process has made.
+#: Folders that this process has made, and names of those that are tables of the catalog.
 _made: list[str] = []
+_named: dict[str, str] = {}
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -53,6 +54,8 @@ def clear_work(spark: SparkSession, since: int = 0, keep: str | None = None) ->
     gone = [x for x in _made[since:] if x != keep]
     _made[since:] = [x for x in _made[since:] if x == keep]
     for folder in gone:
+        if folder in _named:
+            spark.sql(f"DROP TABLE IF EXISTS {_named.pop(folder)}")
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return len(gone)
@@ -68,6 +71,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def stored_by(df: DataFrame, column: str, tag: str) -> DataFrame:
+    """``stored``, in as many buckets by ``column`` as the session has shuffle partitions.
+
+    Joins on the column then read it without a shuffle.  The table has a name in the session's catalog.
+    """
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, tag)
+    _named[folder] = folder.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", folder).saveAsTable(_named[folder], format="parquet")
+    return spark.read.table(_named[folder])
+
+
 def id_crc32(doc_id: Column) -> Column:
     """zlib's CRC-32 of the id written as text."""
     return F.crc32(doc_id.cast("string").cast("binary"))

@@ -6,7 +6,8 @@ history's probability, down to add-one word probabilities; all probabilities of
 
 * Every n-gram of the training texts is an arc, whatever its count, so the model grows with the corpus.  ``Automaton`` is
   the model in memory; ``score`` gives the same values with its arcs and failure arcs dealt out by history.
-* Texts are written once as chunks of some ``CHUNK`` bytes: words' numbers in the chunk, and its distinct words' hashes.
+* Texts are written once as chunks of some ``CHUNK`` bytes: words' numbers in the chunk, and its distinct words' hashes.  They
+  lie in buckets by chunk, so that answers come to them and they aren't shuffled.
 * Three rounds follow.  A chunk asks for each of its distinct words, pairs and triples once, with its own training
   counts; a task adds the counts up and answers every chunk.  Words are dealt by themselves, pairs by their first word,
   triples by their history, to tasks of some ``DEALT`` tokens, as compressed arrays.
@@ -31,14 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from positdb.llm.common import map_arrow, stored, utf8
+from positdb.llm.common import map_arrow, stored, stored_by, utf8
 
 ORDER = 3
 DISCOUNT = 0.75
 #: The end token; no word holds a line feed.
 END = b"\n"
 #: Bytes of text a chunk, tokens a task of the rounds, occurrences from which a first word's pairs are spread.
-CHUNK, DEALT, HOT = 1 << 22, 1_500_000, 500_000
+CHUNK, DEALT, HOT = 1 << 22, 1_000_000, 500_000
+#: Of the compressed arrays between rounds.
+LEVEL = 3
 #: Number of the begin; words' numbers are larger.
 BEGIN = np.uint64(0)
 
@@ -52,19 +55,24 @@ class Local(dict):
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Compressed, whole numbers (none is negative) in as few bytes as hold them."""
+    """Compressed: whole numbers (none is negative) in as few bytes as hold them, all first bytes, then all second ones, ..."""
     import zstandard
 
     small = [x.astype(np.min_scalar_type(x.max())) if x.dtype.kind in "iu" and len(x) else x for x in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(small, protocol=5))
+    planes = [(x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()) for x in small]
+    return zstandard.ZstdCompressor(level=LEVEL).compress(pickle.dumps(planes, protocol=5))
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
     """Whole numbers of up to four bytes and flags as int64, hashes as uint64."""
     import zstandard
 
-    found = pickle.loads(zstandard.decompress(bytes(data)))
-    return [x.astype(np.int64) if x.dtype.kind in "iu" and x.dtype.itemsize < 8 else x for x in found]
+    found = []
+    for kind, planes in pickle.loads(zstandard.decompress(bytes(data))):
+        kind = np.dtype(kind)
+        x = np.frombuffer(planes, dtype=np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind).reshape(-1)
+        found.append(x.astype(np.int64) if kind.kind in "iu" and kind.itemsize < 8 else x)
+    return found
 
 
 def lists(found: list[pa.Array]) -> pa.Array:
@@ -158,6 +166,7 @@ class Level:
         self.parts = {}
         for b in sorted({*grams, *homes}):
             at = asked[grams.get(b, nothing)]
+            at = at[np.lexsort((code[at], history[at]))]  # neighbours alike compress well
             self.parts[b] = (np.union1d(history[at], open_[homes.get(b, nothing)]), at)
 
     def asked(self):
@@ -189,7 +198,7 @@ def answers(found: pd.DataFrame, shift: float, hot: float = math.inf) -> pd.Data
     lower += np.bincount(at[row[kept]], weights=(num[kept] + shift) / of[row[kept]], minlength=len(names))
     often = np.zeros(len(names))
     often[at] = seen
-    weight = np.log10(backoff(arcs, often, lower))[at]
+    weight = np.log10(backoff(arcs, often, lower))[at].astype(np.float32)
     weight[~needed.astype(bool) & (np.bincount(row, weights=total == 0, minlength=len(codes)) == 0)] = 0.0
     rows = [(c, packed(*x), None, None, None) for c, *x in zip(found["chunk"], np.split(total, ends), np.split(alone, ends), np.split(weight, row_ends))]
     rows += [(None, None, int(names[i : i + 1].view(np.int64)[0]), float(arcs[i]), float(lower[i])) for i in np.flatnonzero(often > hot)]
@@ -369,7 +378,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     slim = slim.withColumn("t", F.coalesce(training, F.lit(False)))
     kind = slim.schema["id"].dataType.simpleString()
-    written = stored(chunks(slim, kind), "chunks")
+    written = stored_by(chunks(slim, kind), "chunk", "chunks")
     sums = written.agg(F.sum("tokens").alias("n"), F.sum("texts").alias("ends")).first()
     total, begins = int(sums.n or 0), int(sums.ends or 0)
     buckets, divisor, spread = max(1, math.ceil(total / dealt)), 1, {}
