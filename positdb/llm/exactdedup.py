@@ -73,7 +73,8 @@ class LogStructuredIndex:
                 self.levels[k + 1].append(merged)
 
     def entries(self, paths: list[str] | None = None) -> DataFrame:
-        found = [self.spark.read.schema(f"digest binary, id {self.kind}, entries long").parquet(p) for p in paths or self.paths]
+        kind = f"digest binary, id {self.kind}, entries long"
+        found = [self.spark.read.schema(kind).parquet(p).select("digest", "id", "entries") for p in paths or self.paths]
         return reduce(DataFrame.union, found)
 
     def merged(self, paths: list[str]) -> DataFrame:
