@@ -46,13 +46,13 @@ def work_tables() -> int:
     return len(_made)
 
 
-def clear_work(spark: SparkSession, since: int = 0, keep: str | None = None) -> int:
-    """Delete the work tables made after the first ``since``, but for ``keep``; returns their number.
+def clear_work(spark: SparkSession, since: int = 0, keep: str | None = None, until: int | None = None) -> int:
+    """Delete the work tables made after the first ``since`` (of the first ``until``), but for ``keep``; returns their number.
 
     What was made from them must have been written or read before.
     """
-    gone = [x for x in _made[since:] if x != keep]
-    _made[since:] = [x for x in _made[since:] if x == keep]
+    gone = [x for x in _made[since:until] if x != keep]
+    _made[since:until] = [x for x in _made[since:until] if x == keep]
     for folder in gone:
         if folder in _named:
             spark.sql(f"DROP TABLE IF EXISTS {_named.pop(folder)}")

@@ -6,24 +6,28 @@ history's probability, down to add-one word probabilities; all probabilities of
 
 * Every n-gram of the training texts is an arc, whatever its count, so the model grows with the corpus.  ``Automaton`` is
   the model in memory; ``score`` gives the same values with its arcs and failure arcs dealt out by history.
-* Texts are written once as chunks of some ``CHUNK`` bytes: words' numbers in the chunk, and its distinct words' hashes.  They
-  lie in buckets by chunk, so that answers come to them and they aren't shuffled.
+* Texts are written once as chunks of some ``CHUNK`` bytes: words' numbers in the chunk, and its distinct words.  They lie in buckets by
+  chunk, so that answers come to them and they aren't shuffled.
 * Three rounds follow.  A chunk asks for each of its distinct words, pairs and triples once, with its own training
   counts; a task adds the counts up and answers every chunk.  Words are dealt by themselves, pairs by their first word,
   triples by their history, to tasks of some ``DEALT`` tokens, as compressed arrays.
+* After the first round chunks are written anew with their words' numbers and counts; what was written before is deleted.
+* Pairs and triples are asked for in ``PASSES`` passes over the tasks; a pass's questions are deleted when it is answered.
 * What only one chunk holds is counted there: of such n-grams, sums a history are sent on for its failure arc.
 * Pairs of a first word with more than ``HOT`` occurrences are dealt by both words; each task gives its part of the
   failure arc's sums, a row a word and task, at most (tokens / HOT) * (1 + tokens / DEALT) rows, summed to tokens / HOT
   rows, which are broadcast.
 * The chunk then adds up its texts' logarithms.
 
-Words are numbered in their round, small numbers for frequent ones; they, pairs and triples are told apart by 64-bit hashes.  Null texts are empty: one end token.  Repeated
-rows are scored each.  Without training texts N and V are 0 and every token has probability 1.  An empty table gives no
+Words are numbered in their round, small numbers for frequent ones; they, pairs and triples are told apart by 64-bit hashes,
+but histories are asked for by their words' numbers, in order, which compress as hashes don't.  Null texts are empty: one end
+token.  Repeated rows are scored each.  Without training texts N and V are 0 and every token has probability 1.  An empty table gives no
 rows.  Other columns are ignored.
 """
 
 import math
 import pickle
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from positdb.llm.common import map_arrow, stored, stored_by, utf8
+from positdb.llm.common import clear_work, map_arrow, stored, stored_by, utf8, work_tables
 
 ORDER = 3
 DISCOUNT = 0.75
@@ -42,6 +46,8 @@ END = b"\n"
 CHUNK, DEALT, HOT = 1 << 22, 1_000_000, 500_000
 #: Of the compressed arrays between rounds.
 LEVEL = 3
+#: Passes over the tasks that answer pairs and triples: only one pass's questions are on disk at a time.
+PASSES = {"pairs": 1, "triples": 2}
 #: Number of the begin; words' numbers are larger.
 BEGIN = np.uint64(0)
 
@@ -81,7 +87,7 @@ def lists(found: list[pa.Array]) -> pa.Array:
 
 
 def chunks(docs: DataFrame, kind: str) -> DataFrame:
-    """chunk, ids, data (lengths, training, words' numbers; hashes and training counts of words), tokens and texts learned from."""
+    """chunk, ids, data (lengths, training, words' numbers; training counts of words; words, parted by blanks), tokens and texts learned from."""
 
     def make():
         partition, made = TaskContext.get().partitionId(), 0
@@ -106,10 +112,9 @@ def chunks(docs: DataFrame, kind: str) -> DataFrame:
                     parts[-1][1:-1] = np.fromiter(map(local.__getitem__, tokens), dtype=np.int32, count=len(tokens))
                 lengths, seq = np.array([len(p) for p in parts], dtype=np.int32), np.concatenate(parts)
                 counts = np.bincount(seq[np.repeat(training[a:b], lengths)], minlength=len(local) + 1)[1:]
-                codes = pd.util.hash_array(np.array(list(local), dtype=object), categorize=False)
                 out["chunk"].append((partition << 36) + made)
                 out["ids"].append(batch.column("id").slice(a, b - a))
-                out["data"].append(packed(lengths, training[a:b], seq, codes, counts))
+                out["data"].append(packed(lengths, training[a:b], seq, counts, np.frombuffer(b" ".join(local), dtype=np.uint8)))
                 out["tokens"].append(int(counts.sum())), out["texts"].append(int(counts[0]))
                 made += 1
             return out | {"ids": lists(out["ids"])}
@@ -126,6 +131,11 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def of_names(*names: np.ndarray) -> np.ndarray:
+    """Codes of histories of one or two words: the number, or the pair's hash."""
+    return names[0] if len(names) == 1 else pair(*names)
+
+
 def by_bucket(bucket: np.ndarray) -> dict[int, np.ndarray]:
     """Positions in each bucket, ascending."""
     order = np.argsort(bucket, kind="stable")
@@ -142,13 +152,14 @@ def backoff(arcs: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> np.ndarray
 class Level:
     """A chunk's n-grams of one length, by history.
 
-    Histories have a code, how often training ``seen`` them and ``of``, the divisor of their arcs' shorter probability;
-    n-grams have the ``history``'s number (ascending), a code, the chunk's training ``count`` and ``num``, the shorter
+    Histories have ``names``, their words' numbers (one array a word), how often training ``seen`` them and ``of``, the
+    divisor of their arcs' shorter probability; n-grams have the ``history``'s number (ascending), a code, the chunk's training ``count`` and ``num``, the shorter
     probability times ``of``, less ``shift``.  ``alone`` n-grams and histories need no other chunk's counts.
     """
 
-    def __init__(self, codes, seen, of, history, code, count, num, shift: float, alone_history, alone, buckets: int, hot: float = math.inf) -> None:
-        self.codes, self.seen, self.of, self.history, self.code, self.count, self.num, self.hot = codes, seen, of, history, code, count, num, hot
+    def __init__(self, names, seen, of, history, code, count, num, shift: float, alone_history, alone, buckets: int, hot: float = math.inf) -> None:
+        self.names, self.seen, self.of, self.history, self.code, self.count, self.num, self.hot = names, seen, of, history, code, count, num, hot
+        self.codes = codes = of_names(*names)
         self.alone_history = alone_history | (seen == 0)
         self.alone = alone | (num == 0) | self.alone_history[history]
         own, n = self.alone & (count > 0), len(codes)
@@ -161,33 +172,40 @@ class Level:
         key = self.home[history[asked]]
         spread = seen[history[asked]] > hot
         key[spread] = pair(codes[history[asked[spread]]], code[asked[spread]]) % np.uint64(buckets)
-        grams, homes, nothing = by_bucket(key), by_bucket(self.home[open_]), np.zeros(0, dtype=np.int64)
-        #: bucket: (histories, n-grams)
-        self.parts = {}
-        for b in sorted({*grams, *homes}):
-            at = asked[grams.get(b, nothing)]
-            at = at[np.lexsort((code[at], history[at]))]  # neighbours alike compress well
-            self.parts[b] = (np.union1d(history[at], open_[homes.get(b, nothing)]), at)
-
-    def asked(self):
-        for b, (rows, at) in self.parts.items():
-            runs = np.bincount(np.searchsorted(rows, self.history[at]), minlength=len(rows))
+        self.asking, self.open, self.grams, self.homes, self.place = asked, open_, by_bucket(key), by_bucket(self.home[open_]), np.empty(n, dtype=np.int64)
+        self.buckets = sorted({*self.grams, *self.homes})
+
+    def part(self, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A bucket's histories, n-grams and number of each history's n-grams."""
+        nothing = np.zeros(0, dtype=np.int64)
+        at = self.asking[self.grams.get(b, nothing)]
+        rows = np.union1d(self.history[at], self.open[self.homes.get(b, nothing)])
+        rows = rows[np.lexsort([x[rows] for x in self.names])]  # by the last word first: neighbours alike compress well
+        self.place[rows] = np.arange(len(rows))
+        at = at[np.lexsort((self.code[at], self.place[self.history[at]]))]
+        return rows, at, np.bincount(self.place[self.history[at]], minlength=len(rows))
+
+    def asked(self, turn: int, turns: int):
+        """(bucket, asked) of one of some turns."""
+        for b in (b for b in self.buckets if b % turns == turn):
+            rows, at, runs = self.part(b)
             home = self.home[rows] == b
-            yield b, packed(self.codes[rows], self.seen[rows], self.of[rows], runs, self.arcs[rows] * home, self.nums[rows] * home, self.needed[rows], self.code[at], self.count[at], self.num[at])
+            yield b, packed(self.seen[rows], self.of[rows], runs, self.arcs[rows] * home, self.nums[rows] * home, self.needed[rows], self.code[at], self.count[at], self.num[at], *(x[rows] for x in self.names))
 
     def take(self, answers: dict[int, bytes]) -> None:
         """Sets all training counts as ``total``, the histories' ``weight`` (0 where no n-gram takes it) and ``alone``."""
         self.total, self.weight = self.count.copy(), np.log10(backoff(self.arcs, self.seen, self.lower))
-        for b, (rows, at) in self.parts.items():
+        for b in self.buckets:
+            rows, at, _ = self.part(b)
             self.total[at], self.alone[at], self.weight[rows] = unpacked(answers[b])
 
 
 def answers(found: pd.DataFrame, shift: float, hot: float = math.inf) -> pd.DataFrame:
     """Answers to what levels ask, and for hot histories the sums of this task."""
     asked = [unpacked(x) for x in found["asked"]]
-    row_ends, ends = np.cumsum([len(x[0]) for x in asked])[:-1], np.cumsum([len(x[7]) for x in asked])[:-1]
-    codes, seen, of, runs, arcs, nums, needed, code, count, num = (np.concatenate(x) for x in zip(*asked))
-    codes, code = codes.astype(np.uint64), code.astype(np.uint64)
+    row_ends, ends = np.cumsum([len(x[0]) for x in asked])[:-1], np.cumsum([len(x[6]) for x in asked])[:-1]
+    seen, of, runs, arcs, nums, needed, code, count, num, *histories = (np.concatenate(x) for x in zip(*asked))
+    codes, code = of_names(*(x.astype(np.uint64) for x in histories)), code.astype(np.uint64)
     names, at = np.unique(codes, return_inverse=True)
     row = np.repeat(np.arange(len(codes)), runs)
     _, first, gram = np.unique(pair(codes[row], code), return_index=True, return_inverse=True)
@@ -224,33 +242,50 @@ def answers_of_words(found: pd.DataFrame, buckets: int) -> pd.DataFrame:
     return out.astype({"chunk": "Int64", "word": "Int64"}).assign(bucket=int(found["bucket"].iloc[0]), arcs=0.0, lower=0.0)
 
 
+def hashes(words: np.ndarray) -> np.ndarray:
+    """Of ``chunks``' words, which hold no blank."""
+    return pd.util.hash_array(np.array(words.astype(np.uint8).tobytes().split(b" "), dtype=object), categorize=False)
+
+
+def words_asked(data: bytes, buckets: int) -> list[tuple[int, bytes]]:
+    """What ``chunks``' data asks of each bucket: hashes and training counts of words."""
+    *_, counts, words = unpacked(data)
+    codes = hashes(words)
+    return [(b, packed(codes[at], counts[at])) for b, at in by_bucket(codes % np.uint64(buckets)).items()]
+
+
+def numbered(data: bytes, given: dict[int, bytes], buckets: int) -> bytes:
+    """``chunks``' data with the answers by bucket in place of counts and words: all training counts, alone, numbers."""
+    lengths, training, seq, _, words = unpacked(data)
+    codes = hashes(words)
+    found = [np.zeros(len(codes), dtype=kind) for kind in (np.int64, bool, np.int64)]
+    for b, at in by_bucket(codes % np.uint64(buckets)).items():
+        for x, answer in zip(found, unpacked(given[b])):
+            x[at] = answer
+    return packed(lengths, training, seq, *found)
+
+
 class Chunk:
-    """Texts of a chunk, and what the rounds answered: ``given`` has the answers by round and bucket."""
+    """Texts of a numbered chunk, and what the rounds of pairs and triples answered: ``given`` has it by round and bucket."""
 
     def __init__(self, data: bytes, model: tuple, given: list[dict[int, bytes]], spread: dict) -> None:
         begins, self.divisor, buckets, hot = model
-        self.lengths, training, self.seq, codes, self.counts = unpacked(data)
-        codes = codes.astype(np.uint64)
-        self.words, self.codes = by_bucket(codes % np.uint64(buckets)), np.concatenate([[BEGIN], codes])  # hashes, then numbers
-        if not given:
-            return
-        self.c1, alone = np.zeros(len(self.codes), dtype=np.int64), np.zeros(len(self.codes), dtype=bool)
-        self.c1[0] = begins
-        for b, at in self.words.items():
-            self.c1[at + 1], alone[at + 1], self.codes[at + 1] = unpacked(given[0][b])
+        self.lengths, training, self.seq, *found = unpacked(data)
+        self.c1, alone, self.codes = (np.concatenate([[first], x]) for first, x in zip((begins, False, BEGIN), found))
+        alone, self.codes = alone.astype(bool), self.codes.astype(np.uint64)
         n, self.text = len(self.codes), np.repeat(np.arange(len(self.lengths)), self.lengths)
         learned = training[self.text].astype(float)
         second = np.flatnonzero(self.seq) - 1  # positions of a pair's first word
         key, self.pair_of = np.unique(self.seq[second] * n + self.seq[second + 1], return_inverse=True)
         h, w = key // n, key % n
         count = np.bincount(self.pair_of, weights=learned[second], minlength=len(key)).astype(np.int64)
-        self.pairs = Level(self.codes, self.c1, np.full(n, self.divisor), h, self.codes[w], count, self.c1[w], 1.0, alone, alone[h] | alone[w], buckets, hot)
+        self.pairs = Level((self.codes,), self.c1, np.full(n, self.divisor), h, self.codes[w], count, self.c1[w], 1.0, alone, alone[h] | alone[w], buckets, hot)
         # A word that was not learned still has the root's probability; its pairs were not seen.
         starts = np.flatnonzero(self.seq[second] == 0)
         self.first_pairs, self.first_texts, self.w = self.pair_of[starts], self.text[second[starts]], w
-        if len(given) < 2:
+        if not given:
             return
-        self.pairs.take(given[1])
+        self.pairs.take(given[0])
         common = np.flatnonzero((self.c1 > hot) & ~self.pairs.alone_history)
         sums = np.array([spread.get(c, (0.0, 0.0)) for c in self.codes[common].view(np.int64).tolist()]).reshape(-1, 2)
         self.pairs.weight[common] = np.log10(backoff(sums[:, 0], self.c1[common], sums[:, 1]))
@@ -259,17 +294,10 @@ class Chunk:
         history, last, self.suffix = key // n, key % n, self.pair_of[inner[first]]
         count = np.bincount(self.triple_of, weights=learned[second[inner]], minlength=len(key)).astype(np.int64)
         total, alone = self.pairs.total, self.pairs.alone
-        codes = pair(self.codes[h], self.codes[w])
-        self.triples = Level(codes, total, np.maximum(self.c1[w], 1), history, self.codes[last], count, total[self.suffix], -DISCOUNT, alone, alone[history] | alone[self.suffix], buckets)
+        self.triples = Level((self.codes[h], self.codes[w]), total, np.maximum(self.c1[w], 1), history, self.codes[last], count, total[self.suffix], -DISCOUNT, alone, alone[history] | alone[self.suffix], buckets)
         self.triple_texts = self.text[second[inner]]
-        if len(given) > 2:
-            self.triples.take(given[2])
-
-    def asked(self, done: int):
-        """(bucket, asked) of the round after ``done`` ones."""
-        if not done:
-            return [(b, packed(self.codes[at + 1], self.counts[at])) for b, at in self.words.items()]
-        return (self.pairs if done == 1 else self.triples).asked()
+        if len(given) > 1:
+            self.triples.take(given[1])
 
     def results(self) -> dict[str, np.ndarray]:
         root = np.log10((self.c1 + 1.0) / self.divisor)
@@ -359,13 +387,13 @@ class Automaton:
         return total
 
 
-def written_once(df: DataFrame, tag: str) -> DataFrame:
-    """``stored``, with the shuffle files of the write deleted at its end: nothing reads them again."""
+def written_once(df: DataFrame, write, *how: str) -> DataFrame:
+    """``stored`` or ``stored_by``, with the shuffle files of the write deleted at its end: nothing reads them again."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, None)
     conf.set(key, "true")
     try:
-        return stored(df, tag)
+        return write(df, *how)
     finally:
         conf.set(key, before) if before is not None else conf.unset(key)
 
@@ -378,11 +406,13 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     slim = slim.withColumn("t", F.coalesce(training, F.lit(False)))
     kind = slim.schema["id"].dataType.simpleString()
+    since = work_tables()
     written = stored_by(chunks(slim, kind), "chunk", "chunks")
     sums = written.agg(F.sum("tokens").alias("n"), F.sum("texts").alias("ends")).first()
     total, begins = int(sums.n or 0), int(sums.ends or 0)
     buckets, divisor, spread = max(1, math.ceil(total / dealt)), 1, {}
     tables: list[DataFrame] = []
+    question = "bucket long, chunk long, asked binary"
     reply = "bucket long, chunk long, answer binary, word long, arcs double, lower double"
 
     def given(*columns: str) -> DataFrame:
@@ -394,26 +424,41 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         return out
 
     def mapped(make_rows, *columns: str, schema: str) -> DataFrame:
-        done, model = len(tables), (begins, divisor, buckets, hot)
-        known = docs.sparkSession.sparkContext.broadcast(spread)
+        """What is made of each chunk: of its batch, data and answers."""
+        done = len(tables)
 
         def work(batch):
             answers = [{r["bucket"]: r["answer"] for r in batch.column(f"given{k}")[0].as_py() or []} for k in range(done)]
-            return make_rows(batch, Chunk(batch.column("data")[0].as_py(), model, answers, known.value))
+            return make_rows(batch, batch.column("data")[0].as_py(), answers)
 
         return map_arrow(given(*columns), lambda: work, schema, most=1)
 
-    def ask(batch, x: Chunk) -> dict:
-        found = list(x.asked(len_done))
+    def of_chunk(make_rows):
+        model, known = (begins, divisor, buckets, hot), docs.sparkSession.sparkContext.broadcast(spread)
+        return lambda batch, data, answers: make_rows(batch, Chunk(data, model, answers, known.value))
+
+    def questions(batch, found) -> dict:
+        found = list(found)
         return {"bucket": [b for b, _ in found], "chunk": batch.column("chunk").to_pylist() * len(found), "asked": [a for _, a in found]}
 
-    for len_done, (tag, answer) in enumerate((("words", lambda rows: answers_of_words(rows, buckets)), ("pairs", lambda rows: answers(rows, 1.0, hot)), ("triples", lambda rows: answers(rows, -DISCOUNT)))):
-        asked = mapped(ask, schema="bucket long, chunk long, asked binary")
-        tables.append(written_once(asked.groupBy("bucket").applyInPandas(answer, reply), tag))
-        if tag == "words":
-            divisor = total + int(tables[0].agg(F.sum("word").alias("v")).first().v or 0) + 1
-        if tag == "pairs":
-            parts = tables[1].where("word is not null").groupBy("word").agg(F.sum("arcs").alias("arcs"), F.sum("lower").alias("lower"))
-            spread = {r.word: (r.arcs, r.lower) for r in parts.collect()}
-    scored = mapped(lambda batch, x: x.results() | {"id": batch.column("ids").flatten()}, "ids", schema=f"id {kind}, n_tokens long, n_known long, base double, score double")
+    asked = mapped(lambda batch, data, _: questions(batch, words_asked(data, buckets)), schema=question)
+    tables.append(written_once(asked.groupBy("bucket").applyInPandas(lambda rows: answers_of_words(rows, buckets), reply), stored, "words"))
+    divisor = total + int(tables[0].agg(F.sum("word").alias("v")).first().v or 0) + 1
+    again = mapped(lambda batch, data, found: {k: batch.column(k) for k in ("chunk", "ids")} | {"data": [numbered(data, found[0], buckets)]}, "ids", schema=f"chunk long, ids array<{kind}>, data binary")
+    until = work_tables()
+    written, tables = written_once(again, stored_by, "chunk", "numbered"), []
+    clear_work(docs.sparkSession, since, until=until)
+    def answered(level: str, answer) -> DataFrame:
+        """The answers to all chunks' questions of a level."""
+        found, turns = [], min(PASSES[level], buckets)
+        for turn in range(turns):
+            asked = mapped(of_chunk(lambda batch, x, turn=turn: questions(batch, getattr(x, level).asked(turn, turns))), schema=question)
+            found.append(written_once(asked.groupBy("bucket").applyInPandas(answer, reply), stored, level))
+        return reduce(DataFrame.unionByName, found)
+
+    tables.append(answered("pairs", lambda rows: answers(rows, 1.0, hot)))
+    parts = tables[0].where("word is not null").groupBy("word").agg(F.sum("arcs").alias("arcs"), F.sum("lower").alias("lower"))
+    spread = {r.word: (r.arcs, r.lower) for r in parts.collect()}
+    tables.append(answered("triples", lambda rows: answers(rows, -DISCOUNT)))
+    scored = mapped(of_chunk(lambda batch, x: x.results() | {"id": batch.column("ids").flatten()}), "ids", schema=f"id {kind}, n_tokens long, n_known long, base double, score double")
     return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

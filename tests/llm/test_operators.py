@@ -512,3 +512,25 @@ def test_work_tables_can_be_cleared(spark):
 
     kept = common.stored(spark.range(3), "t")
     assert kept.count() == 3 and common.clear_work(spark) >= 1 and common.clear_work(spark) == 0
+
+
+def test_lm_histories_are_asked_for_in_few_bytes(spark):
+    """Questions about triples take less than a hash a history; passes share the tasks, and what was written before them is gone."""
+    from positdb.llm import common
+
+    rnd = random.Random(5)
+    seqs = [[rnd.randrange(2, 3000) for _ in range(2)] for _ in range(40_000)]
+    first, last = (np.array(x, dtype=np.uint64) for x in zip(*sorted({tuple(x) for x in seqs})))
+    one = np.ones(len(first), dtype=np.int64)
+    level = lmscore.Level((first, last), one, one, np.arange(len(first)), one.astype(np.uint64), one, one, -0.75, one < 0, one < 0, 4)
+    asked = [list(level.asked(turn, 3)) for turn in range(3)]
+    assert sorted(b for found in asked for b, _ in found) == [0, 1, 2, 3]
+    assert sum(len(a) for found in asked for _, a in found) < 4 * len(first)
+    before = common.work_tables()
+    found = rows(n=100) + [(5000, "filler words " * 200_000, "en", "a", 0)]
+    ids, train = id_crc32(F.col("id")) % 7 != 2, [words(t) + [b"\n"] for i, t, *_ in found if crc(i) % 7 != 2]
+    automaton, numbers = model_of_all(train)
+    got = lmscore.score(table(spark, found), ids, dealt=500).collect()
+    want = sorted(round(automaton.traverse([numbers.get(w, -1) for w in words(t) + [b"\n"]]), 4) for _, t, *_ in found)
+    assert sorted(r.score for r in got) == pytest.approx(want, abs=1e-3)
+    assert common.work_tables() == before + 1 + sum(lmscore.PASSES.values())  # numbered chunks, passes of pairs and of triples
