@@ -11,7 +11,7 @@
   of the bucket and the round), and a member outside the hub's component counts it as a partner.  A document proposes
   one partner a round, that with most buckets in common, so a round has a pair a document at most, however large a
   group of near copies is.  Pairs are confirmed on full sets and components are joined; rounds go on while
-  they find links.
+  they find links.  The few links of the last round wait for those of the next step.
 * What is left are documents of different components in one bucket, mostly ones that share a passage and are not
   similar enough.  They are not paired.  ``peeled`` gives every bucket's members to the group of its heaviest
   component and takes from all sets of a group what most of them hold: the distance of two sets is the distance of
@@ -24,7 +24,8 @@
 
 Sets meet as a stream: a group's common part (or a hub's set) comes first, then the members one by one, dealt to tasks of
 some ``SALTED`` members, so a task holds one such set and one batch.  Bucket statistics are partial aggregates, all joins
-on buckets and ids are plain equi-joins that adaptive execution can split, and nothing but row counts reaches the driver.
+on buckets and ids are plain equi-joins that adaptive execution can split.  What the driver gets are row counts and ids to
+broadcast.  Every exchange of a plan costs it a thread for a minute, and generated code; so steps with few rows have few.
 
 Null texts and texts without words have the empty set: size 0, linked with nothing.  With fewer words than a shingle
 takes, the whole sequence is the one shingle.  Rows that share an id are taken for one document's copies.  A row without id
@@ -40,7 +41,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from positdb.llm.common import map_arrow, stored, utf8
@@ -54,6 +55,8 @@ REMEMBERED = 300_000
 ROUNDS, WORTH = 8, 0.05
 #: Members that a set which comes before them is repeated for.
 SALTED = 64
+#: Rows of a stream that are taken at once: each can give hundreds.
+STEP = 512
 #: A group's shingles are told apart by frequency from this share of its members on.
 FREQUENT = 1 / 32
 #: Bounds of classes of e, in shingles: two an octave.
@@ -146,9 +149,8 @@ def sketches(docs: DataFrame, width: int, rows: int, bands: int, cells: int, id_
     return map_arrow(slim, make, f"id {kind}, n long, c1 long, c2 long, bands array<long>")
 
 
-def sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id and shingles of the documents whose id is in ``ids`` (one row an id)."""
-    n = ids.count()
+def sets(docs: DataFrame, ids: DataFrame, n: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """id and shingles of the documents whose id is in ``ids`` (one row an id, ``n`` in all)."""
     wanted = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
     slim = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").join(wanted, "id", "left_semi")
     kind = slim.schema["id"].dataType.simpleString()
@@ -169,20 +171,22 @@ def sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str
 
 def full_sets(ids: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """The sets of the ids in the one column of ``ids``, one row an id even if ids repeat in the table; written."""
-    full = stored(sets(docs, ids, width, id_col, text_col), "sets")
-    return stored(full.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets") if full.count() > ids.count() else full
+    n = ids.count()
+    full = stored(sets(docs, ids, n, width, id_col, text_col), "sets")
+    return stored(full.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets") if full.count() > n else full
 
 
-def streamed(heads: DataFrame, members: DataFrame, full: DataFrame, make: Callable[[dict, np.ndarray], Callable[[dict, np.ndarray], Iterator[tuple]]], schema: str) -> DataFrame:
+def streamed(heads: DataFrame, members: DataFrame, n: int, full: DataFrame, make: Callable[[dict, np.ndarray], Callable[[dict, np.ndarray], Iterator[tuple]]], schema: str) -> DataFrame:
     """What ``make(head, its data)`` makes of each of its members, one by one, and their sets, as rows of ``schema``.
 
-    ``heads`` has a row a key with ``data`` (array<long>), ``members`` rows of ``key`` and ``id``; both with what else is asked of them.
+    ``heads`` has a row a key with ``data`` (array<long>), ``members`` ``n`` rows of ``key`` and ``id``; both with what else is asked
+    of them.  Heads without members are left out.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    light = F.broadcast if members.count() <= BROADCAST_ROWS else lambda df: df
-    salts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
+    light = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
+    salts = light(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts")))
     heads = heads.join(salts, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("tag", F.lit(0))
     members = members.join(salts, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).withColumn("tag", F.lit(1))
     members = full.withColumnRenamed("shingles", "data").join(light(members), "id")
@@ -192,7 +196,7 @@ def streamed(heads: DataFrame, members: DataFrame, full: DataFrame, make: Callab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
-        for batch in batches:
+        for batch in (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP)):
             names = [c for c in batch.schema.names if c != "data"]
             data = batch.column("data")
             values, ends = data.values.to_numpy(zero_copy_only=False), data.offsets.to_numpy()
@@ -208,10 +212,9 @@ def streamed(heads: DataFrame, members: DataFrame, full: DataFrame, make: Callab
     return rows.mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    hubs = pairs.select(F.col("a").alias("id")).distinct()
-    heads = full.join(F.broadcast(hubs) if pairs.count() <= BROADCAST_ROWS else hubs, "id").select(F.col("id").alias("key"), F.col("shingles").alias("data"))
+def confirmed(pairs: DataFrame, n: int, full: DataFrame, percent: int) -> DataFrame:
+    """Of ``n`` pairs (a, b) those whose full sets have 100 * intersection >= percent * union."""
+    heads = full.select(F.col("id").alias("key"), F.col("shingles").alias("data"))
     members = pairs.select(F.col("a").alias("key"), F.col("b").alias("id"))
     kind = dict(pairs.dtypes)["a"]
 
@@ -225,7 +228,7 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
         return linked
 
-    return streamed(heads, members, full, make, f"a {kind}, b {kind}")
+    return streamed(heads, members, n, full, make, f"a {kind}, b {kind}")
 
 
 def peeled(still: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -237,7 +240,8 @@ def peeled(still: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame,
     groups = stored(still.join(mains, "bucket").select("key", "id", "n", "component").distinct(), "groups")
     kind = dict(groups.dtypes)["id"]
     sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    dealt = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    rows = groups.count()
+    dealt = F.broadcast(groups) if rows <= BROADCAST_ROWS else groups
     counts = full.join(dealt, "id").select("key", F.explode("shingles").alias("g")).groupBy("key", "g").agg(F.count(F.lit(1)).alias("k"))
     frequent = counts.join(sizes, "key").where(F.col("k") >= F.greatest(F.lit(2), F.col("members") * FREQUENT))
     # At most 1 / FREQUENT times the mean size of a group's sets.
@@ -275,7 +279,7 @@ def peeled(still: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame,
 
         return of
 
-    measured = stored(streamed(heads, groups, full, measure, f"key {kind}, id {kind}, n long, component {kind}, a long, e long, class int"), "measured")
+    measured = stored(streamed(heads, groups, rows, full, measure, f"key {kind}, id {kind}, n long, component {kind}, a long, e long, class int"), "measured")
     nearest = measured.groupBy("key").agg(F.min(F.struct("e", "id", "component")).alias("m"))
     certain = measured.join(nearest, "key").where("component != m.component and e + m.e <= 0").select(F.least("id", "m.id").alias("a"), F.greatest("id", "m.id").alias("b"))
     there = measured.groupBy("key", "class").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("e").alias("e0"), F.max("e").alias("e1"), F.max("a").alias("a1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
@@ -302,7 +306,7 @@ def peeled(still: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame,
 
         return of
 
-    keyed = streamed(heads.join(there, "key"), groups, full, first_ones, f"key long, role boolean, id {kind}, n long, component {kind}, e long")
+    keyed = streamed(heads.join(there, "key"), groups, rows, full, first_ones, f"key long, role boolean, id {kind}, n long, component {kind}, e long")
     keyed = stored(keyed, "firsts")
     left, right = (keyed.where(F.col("role") == r).select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "component", "e")]) for r, s in ((False, "0"), (True, "1")))
     sized = f"100 * least(n0, n1) >= {percent} * greatest(n0, n1)"
@@ -314,23 +318,24 @@ def components(links: DataFrame) -> DataFrame:
     """id, component (smallest id reachable) of every id in ``links`` (a, b) but the smallest of each component.
 
     Alternates large-star and small-star steps: every step hangs neighbours on the smallest one, so a component of n
-    ids becomes a star after some log n rounds.  Each round is written, so lineage stays short.
+    ids becomes a star after some log n rounds.  A step is a sort by ends: the first neighbour is the smallest.  Each
+    round is written, so lineage stays short.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
-    before = None
+    ends = lambda x, y: F.struct(F.col(x).alias("a"), y.alias("b"))
+    by = Window.partitionBy("a").orderBy("b")
+    edges = links.where("a != b")
     while True:
         # large star: neighbours above a node move to the least of its neighbourhood
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        both = edges.select(F.inline(F.array(ends("a", F.col("b")), ends("b", F.col("a")))))
+        large = both.withColumn("m", F.least("a", F.first("b").over(by))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and the neighbours below it move to the least of these
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        below = large.withColumn("m", F.first("b").over(by)).withColumn("before", F.lag("b").over(by)).where("before is null or before != b")
+        edges = stored(below.select(F.expr("if(before is null, a, b)").alias("a"), F.col("m").alias("b")), "links")
+        # stars: who hangs on a node hangs on no other one, and nobody hangs on them
+        roles = edges.select(F.inline(F.array(ends("a", F.col("b")), ends("b", F.lit(None).cast(dict(edges.dtypes)["b"])))))
+        roles = roles.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y"), F.count("b").alias("up"), F.count(F.lit(1)).alias("all"))
+        if not roles.where("x != y or up > 0 and up < all").count():
             return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
-        before = now
 
 
 def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -369,7 +374,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
     still = stored(members.join(shared, "bucket", "left_semi").withColumn("component", F.col("id")), "open")
     full = full_sets(stored(still.select("id").distinct(), "compared"), docs, width, id_col, text_col)
-    found = tested = None
+    found = tested = late = None
     for k in range(ROUNDS):
         if still.isEmpty():
             break
@@ -381,18 +386,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
             votes = votes.join(tested, ["a", "b"], "left_anti")
         pairs = votes.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("k", F.xxhash64("a", "b"))).alias("p"))
         pairs = stored(pairs.select("p.a", "p.b").distinct(), "pairs")
+        asked = pairs.count()
+        if not asked:
+            break
         tested = pairs if tested is None else tested.union(pairs)
-        links = stored(confirmed(pairs, full, percent), "confirmed")
-        n = links.count()
-        if n:
-            found = joined(found, links)
-            still = still_open(still, found)
-        if n < WORTH * pairs.count():
+        links = stored(confirmed(pairs, asked, full, percent), "confirmed")
+        if links.count() < WORTH * asked:
+            late = links
             break
+        found = joined(found, links)
+        still = still_open(still, found)
     if not still.isEmpty():
         certain, pairs = peeled(still, full, percent)
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = stored(confirmed(pairs, full, percent).union(certain), "confirmed")
+        links = confirmed(pairs, pairs.count(), full, percent).union(certain)
+        links = stored(links if late is None else links.union(late), "confirmed")
         if not links.isEmpty():
             found = joined(found, links)
     # Classes that a link or a copy ties together; all other documents stand alone.

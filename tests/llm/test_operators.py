@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from positdb.llm import annforest, exactdedup, langid, lmscore, minhash, mixing, packing, quality, tokencount, toxicity
-from positdb.llm.common import id_crc32
+from positdb.llm.common import id_crc32, work_tables
 from positdb.llm.queries import tokenizer_path
 
 from .data import SCHEMA, WORDS, crc, rows, table
@@ -191,6 +191,37 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
 
 
+def test_components_take_few_tables(spark):
+    """The driver pays for every plan: a star takes one table, a path no more than its halvings and one."""
+    star = [(7 if i % 2 else i, i if i % 2 else 7) for i in range(8, 60)] + [(8, 7), (7, 8), (8, 8)]
+    path = [(i, i + 1) for i in range(200, 232)]
+    for links, most in ((star, 1), (path, 6), (star + path, 6)):
+        before = work_tables()
+        found = minhash.components(spark.createDataFrame(links, "a long, b long"))
+        assert work_tables() - before <= most
+        want = {i: 7 for i in range(8, 60)} if links is star else {i: 200 for i in range(201, 233)} | ({i: 7 for i in range(8, 60)} if len(links) > 40 else {})
+        assert sorted(map(tuple, found.collect())) == sorted(want.items())
+
+
+def test_rounds_end_when_nothing_is_proposed(spark):
+    """Two links in the first round, nothing to propose in the second: the exact filter comes next, not seven more rounds."""
+    found = [(i, " ".join(f"w{i // 2}x{k}" for k in range(50)) + f" end{i % 2}", "en", "a", 0) for i in range(4)]
+    found += [(10 + i, " ".join(f"part{k}" for k in range(n)), "en", "a", 0) for i, n in enumerate((101, 76))]  # one bucket, sizes too far apart
+    before = work_tables()
+    got = minhash.near_duplicates(table(spark, found), width=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_components(found, 2)
+    assert work_tables() - before <= 20
+
+
+def test_links_of_a_late_round(spark, monkeypatch):
+    """A round that isn't worth another one: its links join those of the exact filter.  Streams come in small steps."""
+    monkeypatch.setattr(minhash, "WORTH", 2)
+    monkeypatch.setattr(minhash, "STEP", 3)
+    found = rows(seed=3, n=120)
+    got = minhash.near_duplicates(table(spark, found), width=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_components(found, 2)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
