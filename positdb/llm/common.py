@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -108,6 +109,14 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
     return df.mapInArrow(run, schema)
 
 
+def keep_memory() -> None:
+    """Have glibc keep freed memory in this worker: arrays of some MB are else given back and zeroed anew each time."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD: no more than this stays
+        mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD: the largest value that all versions take
+
+
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The texts of a column as UTF-8 bytes; null counts as empty."""
     column = batch.column(name)

@@ -32,11 +32,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from positdb.llm.common import clear_work, map_arrow, stored, stored_by, utf8, work_tables
+from positdb.llm.common import clear_work, keep_memory, map_arrow, stored, stored_by, work_tables
 
 ORDER = 3
 DISCOUNT = 0.75
@@ -52,12 +53,22 @@ PASSES = {"pairs": 1, "triples": 2}
 BEGIN = np.uint64(0)
 
 
-class Local(dict):
-    """Numbers words as they come; 0 is the begin, 1 the end."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self) + 1
-        return n
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int, bytes]:
+    """Lengths of the texts with begin and end, their words' numbers (0 is the begin, 1 the end), how many words from number 1 on and these, parted by blanks."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    n, words = pc.list_value_length(parts).to_numpy(zero_copy_only=False), parts.flatten()
+    held = pc.binary_length(words).to_numpy() > 0  # blanks at a text's ends leave empty words
+    if not held.all():
+        n, words = np.bincount(np.repeat(np.arange(len(n)), n)[held], minlength=len(n)), words.filter(pa.array(held))
+    words = words.dictionary_encode()
+    lengths = n.astype(np.int32) + 2
+    ends = np.cumsum(lengths) - 1
+    inner = np.ones(int(lengths.sum()), dtype=bool)
+    inner[ends] = inner[ends + 1 - lengths] = False
+    seq = np.zeros(len(inner), dtype=np.int32)
+    seq[ends], seq[inner] = 1, words.indices.to_numpy() + 2
+    known = pa.concat_arrays([pa.array([END.decode()]), words.dictionary.cast(pa.string())])
+    return lengths, seq, len(known), pc.binary_join(pa.ListArray.from_arrays([0, len(known)], known), " ")[0].as_buffer().to_pybytes()
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -95,26 +106,19 @@ def chunks(docs: DataFrame, kind: str) -> DataFrame:
         def work(batch):
             nonlocal made
             out: dict[str, list] = {k: [] for k in ("chunk", "ids", "data", "tokens", "texts")}
-            texts, training = utf8(batch, "text"), np.array(batch.column("t").to_pylist(), dtype=bool)
+            texts, training = batch.column("text"), np.array(batch.column("t").to_pylist(), dtype=bool)
             cuts, held = [0], 0
-            for i, t in enumerate(texts, 1):
-                held += len(t)
+            for i, n in enumerate(pc.binary_length(texts).to_pylist(), 1):
+                held += n or 0
                 if held >= CHUNK or i == len(texts):
                     cuts.append(i)
                     held = 0
             for a, b in zip(cuts, cuts[1:]):
-                local = Local({END: 1})
-                parts = []
-                for t in texts[a:b]:
-                    tokens = t.lower().split()
-                    parts.append(np.empty(len(tokens) + 2, dtype=np.int32))
-                    parts[-1][0], parts[-1][-1] = 0, 1
-                    parts[-1][1:-1] = np.fromiter(map(local.__getitem__, tokens), dtype=np.int32, count=len(tokens))
-                lengths, seq = np.array([len(p) for p in parts], dtype=np.int32), np.concatenate(parts)
-                counts = np.bincount(seq[np.repeat(training[a:b], lengths)], minlength=len(local) + 1)[1:]
+                lengths, seq, kinds, words = tokens(texts.slice(a, b - a))
+                counts = np.bincount(seq[np.repeat(training[a:b], lengths)], minlength=kinds + 1)[1:]
                 out["chunk"].append((partition << 36) + made)
                 out["ids"].append(batch.column("id").slice(a, b - a))
-                out["data"].append(packed(lengths, training[a:b], seq, counts, np.frombuffer(b" ".join(local), dtype=np.uint8)))
+                out["data"].append(packed(lengths, training[a:b], seq, counts, np.frombuffer(words, dtype=np.uint8)))
                 out["tokens"].append(int(counts.sum())), out["texts"].append(int(counts[0]))
                 made += 1
             return out | {"ids": lists(out["ids"])}
@@ -136,11 +140,36 @@ def of_names(*names: np.ndarray) -> np.ndarray:
     return names[0] if len(names) == 1 else pair(*names)
 
 
-def by_bucket(bucket: np.ndarray) -> dict[int, np.ndarray]:
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys (none is negative), ascending, a position of each and the number of every position's key.
+
+    Keys that leave room for it are sorted with their positions below them, which is faster than sorting positions.
+    """
+    n, bits = len(keys), len(keys).bit_length()
+    if n and keys.dtype == np.int64 and int(keys.max()) >> (63 - bits) == 0:
+        found = np.sort(keys << bits | np.arange(n))
+        order = found & ((1 << bits) - 1)
+        found >>= bits
+    else:
+        order = np.argsort(keys)
+        found = keys[order]
+    new = np.ones(n, dtype=bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    of = np.empty(n, dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    return found[new], order[new], of
+
+
+def in_order(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """Positions by bucket, ascending in each; numbers of two bytes are sorted by radix."""
+    return np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+
+
+def by_bucket(bucket: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
     """Positions in each bucket, ascending."""
-    order = np.argsort(bucket, kind="stable")
-    found, first = np.unique(bucket[order], return_index=True)
-    return dict(zip(found.tolist(), np.split(order, first[1:])))
+    order = in_order(bucket, buckets)
+    ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
+    return {b: x for b, x in enumerate(np.split(order, ends[:-1])) if len(x)}
 
 
 def backoff(arcs: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -153,51 +182,48 @@ class Level:
     """A chunk's n-grams of one length, by history.
 
     Histories have ``names``, their words' numbers (one array a word), how often training ``seen`` them and ``of``, the
-    divisor of their arcs' shorter probability; n-grams have the ``history``'s number (ascending), a code, the chunk's training ``count`` and ``num``, the shorter
-    probability times ``of``, less ``shift``.  ``alone`` n-grams and histories need no other chunk's counts.
+    divisor of their arcs' shorter probability; n-grams have the ``history``'s place, a code, the chunk's training ``count`` and
+    ``num``, the shorter probability times ``of``, less ``shift``.  ``alone`` n-grams and histories need no other chunk's counts.
+    Histories come by their words' numbers, the last one first, and n-grams by history and code: neighbours alike compress well.
     """
 
     def __init__(self, names, seen, of, history, code, count, num, shift: float, alone_history, alone, buckets: int, hot: float = math.inf) -> None:
-        self.names, self.seen, self.of, self.history, self.code, self.count, self.num, self.hot = names, seen, of, history, code, count, num, hot
-        self.codes = codes = of_names(*names)
-        self.alone_history = alone_history | (seen == 0)
-        self.alone = alone | (num == 0) | self.alone_history[history]
-        own, n = self.alone & (count > 0), len(codes)
+        self.names, self.seen, self.of, self.history, self.code, self.count, self.num = names, seen, of, history, code, count, num
+        codes, n = of_names(*names), len(seen)
+        alone_history = alone_history | (seen == 0)
+        self.alone_history, self.alone = alone_history, alone | (num == 0) | alone_history[history]
+        own = np.flatnonzero(self.alone & (count > 0))
         self.arcs = np.bincount(history[own], minlength=n)
         self.nums = np.bincount(history[own], weights=num[own], minlength=n).astype(np.int64)
         self.lower = (self.nums + shift * self.arcs) / of
         self.needed = np.bincount(history[self.alone & (count == 0)], minlength=n) > 0
-        asked, open_ = np.flatnonzero(~self.alone), np.flatnonzero(~self.alone_history)
-        self.home = codes % np.uint64(buckets)
+        # Asked are open histories and their n-grams: by bucket, each in the order above.
+        asked, open_ = np.flatnonzero(~self.alone), np.flatnonzero(~alone_history)
+        self.home = (codes % np.uint64(buckets)).astype(np.int64)
         key = self.home[history[asked]]
-        spread = seen[history[asked]] > hot
+        spread = np.flatnonzero(seen[history[asked]] > hot)
         key[spread] = pair(codes[history[asked[spread]]], code[asked[spread]]) % np.uint64(buckets)
-        self.asking, self.open, self.grams, self.homes, self.place = asked, open_, by_bucket(key), by_bucket(self.home[open_]), np.empty(n, dtype=np.int64)
-        self.buckets = sorted({*self.grams, *self.homes})
-
-    def part(self, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A bucket's histories, n-grams and number of each history's n-grams."""
-        nothing = np.zeros(0, dtype=np.int64)
-        at = self.asking[self.grams.get(b, nothing)]
-        rows = np.union1d(self.history[at], self.open[self.homes.get(b, nothing)])
-        rows = rows[np.lexsort([x[rows] for x in self.names])]  # by the last word first: neighbours alike compress well
-        self.place[rows] = np.arange(len(rows))
-        at = at[np.lexsort((self.code[at], self.place[self.history[at]]))]
-        return rows, at, np.bincount(self.place[self.history[at]], minlength=len(rows))
+        rows, _, _ = grouped(np.concatenate([self.home[open_] * n + open_, key[spread] * n + history[asked[spread]]]))
+        bucket, self.rows = np.divmod(rows, max(1, n))
+        self.grams, self.place = asked[in_order(key, buckets)], np.empty(n, dtype=np.int64)
+        held = np.bincount(bucket, minlength=buckets)
+        self.buckets = np.flatnonzero(held).tolist()
+        self.row_ends, self.gram_ends = (np.concatenate([[0], np.cumsum(x)]).tolist() for x in (held, np.bincount(key, minlength=buckets)))
 
     def asked(self, turn: int, turns: int):
         """(bucket, asked) of one of some turns."""
         for b in (b for b in self.buckets if b % turns == turn):
-            rows, at, runs = self.part(b)
-            home = self.home[rows] == b
+            rows, at = self.rows[self.row_ends[b] : self.row_ends[b + 1]], self.grams[self.gram_ends[b] : self.gram_ends[b + 1]]
+            self.place[rows] = np.arange(len(rows))
+            runs, home = np.bincount(self.place[self.history[at]], minlength=len(rows)), self.home[rows] == b
             yield b, packed(self.seen[rows], self.of[rows], runs, self.arcs[rows] * home, self.nums[rows] * home, self.needed[rows], self.code[at], self.count[at], self.num[at], *(x[rows] for x in self.names))
 
     def take(self, answers: dict[int, bytes]) -> None:
         """Sets all training counts as ``total``, the histories' ``weight`` (0 where no n-gram takes it) and ``alone``."""
         self.total, self.weight = self.count.copy(), np.log10(backoff(self.arcs, self.seen, self.lower))
-        for b in self.buckets:
-            rows, at, _ = self.part(b)
-            self.total[at], self.alone[at], self.weight[rows] = unpacked(answers[b])
+        if self.buckets:
+            found = zip(*(unpacked(answers[b]) for b in self.buckets))
+            self.total[self.grams], self.alone[self.grams], self.weight[self.rows] = map(np.concatenate, found)
 
 
 def answers(found: pd.DataFrame, shift: float, hot: float = math.inf) -> pd.DataFrame:
@@ -206,9 +232,9 @@ def answers(found: pd.DataFrame, shift: float, hot: float = math.inf) -> pd.Data
     row_ends, ends = np.cumsum([len(x[0]) for x in asked])[:-1], np.cumsum([len(x[6]) for x in asked])[:-1]
     seen, of, runs, arcs, nums, needed, code, count, num, *histories = (np.concatenate(x) for x in zip(*asked))
     codes, code = of_names(*(x.astype(np.uint64) for x in histories)), code.astype(np.uint64)
-    names, at = np.unique(codes, return_inverse=True)
+    names, _, at = grouped(codes)
     row = np.repeat(np.arange(len(codes)), runs)
-    _, first, gram = np.unique(pair(codes[row], code), return_index=True, return_inverse=True)
+    _, first, gram = grouped(pair(codes[row], code))
     total, alone = np.bincount(gram, weights=count).astype(np.int64)[gram], (np.bincount(gram) == 1)[gram]
     kept = first[total[first] > 0]
     lower = np.bincount(at, weights=(nums + shift * arcs) / of, minlength=len(names))
@@ -232,7 +258,7 @@ def answers_of_words(found: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """
     asked = [unpacked(x) for x in found["asked"]]
     codes, counts = (np.concatenate(x) for x in zip(*asked))
-    names, of = np.unique(codes.astype(np.uint64), return_inverse=True)
+    names, _, of = grouped(codes.astype(np.uint64))
     total, alone, ends = np.bincount(of, weights=counts).astype(np.int64), np.bincount(of) == 1, np.cumsum([len(x[0]) for x in asked])[:-1]
     number = np.empty(len(names), dtype=np.int64)
     number[np.argsort(-total, kind="stable")] = np.arange(1, len(names) + 1)
@@ -251,18 +277,23 @@ def words_asked(data: bytes, buckets: int) -> list[tuple[int, bytes]]:
     """What ``chunks``' data asks of each bucket: hashes and training counts of words."""
     *_, counts, words = unpacked(data)
     codes = hashes(words)
-    return [(b, packed(codes[at], counts[at])) for b, at in by_bucket(codes % np.uint64(buckets)).items()]
+    return [(b, packed(codes[at], counts[at])) for b, at in by_bucket(codes % np.uint64(buckets), buckets).items()]
 
 
 def numbered(data: bytes, given: dict[int, bytes], buckets: int) -> bytes:
-    """``chunks``' data with the answers by bucket in place of counts and words: all training counts, alone, numbers."""
+    """``chunks``' data with the answers by bucket in place of counts and words: all training counts, alone, numbers.
+
+    The chunk's words are numbered anew, in the order of their numbers.
+    """
     lengths, training, seq, _, words = unpacked(data)
     codes = hashes(words)
     found = [np.zeros(len(codes), dtype=kind) for kind in (np.int64, bool, np.int64)]
-    for b, at in by_bucket(codes % np.uint64(buckets)).items():
+    for b, at in by_bucket(codes % np.uint64(buckets), buckets).items():
         for x, answer in zip(found, unpacked(given[b])):
             x[at] = answer
-    return packed(lengths, training, seq, *found)
+    order, place = np.argsort(found[2], kind="stable"), np.zeros(len(codes) + 1, dtype=np.int64)
+    place[order + 1] = np.arange(1, len(place))
+    return packed(lengths, training, place[seq], *(x[order] for x in found))
 
 
 class Chunk:
@@ -276,8 +307,8 @@ class Chunk:
         n, self.text = len(self.codes), np.repeat(np.arange(len(self.lengths)), self.lengths)
         learned = training[self.text].astype(float)
         second = np.flatnonzero(self.seq) - 1  # positions of a pair's first word
-        key, self.pair_of = np.unique(self.seq[second] * n + self.seq[second + 1], return_inverse=True)
-        h, w = key // n, key % n
+        key, _, self.pair_of = grouped(self.seq[second] * n + self.seq[second + 1])
+        h, w = np.divmod(key, n)
         count = np.bincount(self.pair_of, weights=learned[second], minlength=len(key)).astype(np.int64)
         self.pairs = Level((self.codes,), self.c1, np.full(n, self.divisor), h, self.codes[w], count, self.c1[w], 1.0, alone, alone[h] | alone[w], buckets, hot)
         # A word that was not learned still has the root's probability; its pairs were not seen.
@@ -290,11 +321,12 @@ class Chunk:
         sums = np.array([spread.get(c, (0.0, 0.0)) for c in self.codes[common].view(np.int64).tolist()]).reshape(-1, 2)
         self.pairs.weight[common] = np.log10(backoff(sums[:, 0], self.c1[common], sums[:, 1]))
         inner = np.flatnonzero(self.seq[second] != 0)  # places in ``second`` whose pair ends a triple
-        key, first, self.triple_of = np.unique(self.pair_of[inner - 1] * n + self.seq[second[inner] + 1], return_index=True, return_inverse=True)
-        history, last, self.suffix = key // n, key % n, self.pair_of[inner[first]]
+        _, order, place = grouped(w * n + h)
+        key, first, self.triple_of = grouped(place[self.pair_of[inner - 1]] * n + self.seq[second[inner] + 1])
+        (history, last), self.suffix = np.divmod(key, n), self.pair_of[inner[first]]
         count = np.bincount(self.triple_of, weights=learned[second[inner]], minlength=len(key)).astype(np.int64)
-        total, alone = self.pairs.total, self.pairs.alone
-        self.triples = Level((self.codes[h], self.codes[w]), total, np.maximum(self.c1[w], 1), history, self.codes[last], count, total[self.suffix], -DISCOUNT, alone, alone[history] | alone[self.suffix], buckets)
+        total, alone, h, w = self.pairs.total, self.pairs.alone, h[order], w[order]
+        self.triples = Level((self.codes[h], self.codes[w]), total[order], np.maximum(self.c1[w], 1), history, self.codes[last], count, total[self.suffix], -DISCOUNT, alone[order], alone[order][history] | alone[self.suffix], buckets)
         self.triple_texts = self.text[second[inner]]
         if len(given) > 1:
             self.triples.take(given[1])
@@ -427,11 +459,15 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         """What is made of each chunk: of its batch, data and answers."""
         done = len(tables)
 
+        def make():
+            keep_memory()
+            return work
+
         def work(batch):
             answers = [{r["bucket"]: r["answer"] for r in batch.column(f"given{k}")[0].as_py() or []} for k in range(done)]
             return make_rows(batch, batch.column("data")[0].as_py(), answers)
 
-        return map_arrow(given(*columns), lambda: work, schema, most=1)
+        return map_arrow(given(*columns), make, schema, most=1)
 
     def of_chunk(make_rows):
         model, known = (begins, divisor, buckets, hot), docs.sparkSession.sparkContext.broadcast(spread)

@@ -565,3 +565,39 @@ def test_lm_histories_are_asked_for_in_few_bytes(spark):
     want = sorted(round(automaton.traverse([numbers.get(w, -1) for w in words(t) + [b"\n"]]), 4) for _, t, *_ in found)
     assert sorted(r.score for r in got) == pytest.approx(want, abs=1e-3)
     assert common.work_tables() == before + 1 + sum(lmscore.PASSES.values())  # numbered chunks, passes of pairs and of triples
+
+
+def test_lm_chunks_tokens_are_the_words():
+    import pyarrow as pa
+
+    odd = [b.to_bytes().decode() for b in range(128)]
+    texts = [None, "", "  ", " a", "A b\t", "a\x0bB\x0c\x1cc\r\n", "É é\x85x\xa0y z İ", "x".join(odd), *odd]
+    for kind in (pa.string(), pa.large_string()):
+        for some in (pa.array(["unseen", *texts], type=kind)[1:], pa.array([None, " "], type=kind)):
+            lengths, seq, kinds, names = lmscore.tokens(some)
+            names, want = names.split(b" "), [words(t) for t in some.to_pylist()]
+            assert lengths.tolist() == [len(t) + 2 for t in want] and kinds == len(names) == len(set(names))
+            assert [[b"", *names][i] for i in seq.tolist()] == [x for t in want for x in [b"", *t, lmscore.END]]
+
+
+def test_lm_positions_are_grouped_as_by_unique():
+    rnd = np.random.default_rng(0)
+    for keys in (np.zeros(0, dtype=np.int64), np.array([5]), rnd.integers(0, 50, 999), rnd.integers(0, 1 << 62, 99), rnd.integers(0, 1 << 64, 99, dtype=np.uint64)):
+        found, first, of = lmscore.grouped(keys)
+        want, number = np.unique(keys, return_inverse=True)
+        assert (found == want).all() and (of == number).all() and (keys[first] == found).all()
+
+
+def test_lm_questions_are_sorted_once_a_chunk(monkeypatch):
+    """A chunk is built anew in every pass: n-grams aren't sorted again for each bucket, and words come in the order of their numbers."""
+    rnd = np.random.default_rng(0)
+    seq = np.concatenate([[0, *rnd.integers(2, 500, 5000), 1]]).astype(np.int32)
+    codes = lmscore.hashes(np.frombuffer(names := b" ".join([lmscore.END, *(b"w%d" % i for i in range(2, 500))]), dtype=np.uint8))
+    given = {b: lmscore.packed(at + 9, at < 0, rnd.permutation(len(at)) * 8 + b) for b, at in ((b, np.flatnonzero(codes % np.uint64(8) == b)) for b in range(8))}
+    data = lmscore.packed(np.array([len(seq)]), np.array([True]), seq, np.ones(499), np.frombuffer(names, dtype=np.uint8))
+    chunk = lmscore.Chunk(lmscore.numbered(data, given, 8), (1, 10**6, 8, 1e9), [], {})
+    calls = []
+    for name in ("lexsort", "union1d", "unique"):
+        monkeypatch.setattr(np, name, lambda *a, f=getattr(np, name), **b: calls.append(1) or f(*a, **b))
+    assert len(list(chunk.pairs.asked(0, 1))) == 8 and calls == []
+    assert (np.diff(chunk.codes.astype(np.int64)) >= 0).all()
