@@ -1,6 +1,6 @@
 """Packing of tokenised documents into sequences of a fixed capacity by a configuration linear program.
 
-1. Tokenise every text, add the end id, cut what is longer than the capacity; the pieces are written to the shared
+1. Tokenise every text (its distinct parts between blanks, many texts' at once), add the end id, cut what is longer than the capacity; the pieces are written to the shared
    folder (they are small: no token ids, only their checksum).
 2. The histogram of piece lengths (at most ``capacity`` rows, whatever the input) goes to the driver.
 3. ``plan`` solves the configuration program over it (a configuration is a multiset of lengths that fits).  Every length
@@ -23,10 +23,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from positdb.llm.common import map_arrow, stored, utf8
+from positdb.llm.common import map_arrow, stored
 
 #: A weight falls by the factor exp(-FALL) while all its length's pieces are covered; a piece that fills a sequence is
 #: worth 1 + LONG times its length, as short ones are easier to place later.
@@ -37,12 +39,16 @@ PRICED = 192
 BUCKETS = 1024
 #: Remembered chunks of a worker; beyond that it starts anew.
 REMEMBERED = 200_000
+#: Bytes of text whose parts between blanks are numbered at once, and of the longest part that is merged with others.
+AT_ONCE, LONGEST = 1 << 23, 1000
 
 #: Unicode's White_Space, as the tokeniser's pattern sees it (fixed values).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Runs in which the pre-tokeniser's pattern never joins anything across: an optional blank and what is not white
 #: space, or white space up to the last of a run, or white space.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: For Arrow: parts between blanks that are empty or have white space at an end, so that a blank beside them may not begin a chunk; letters beyond the Latin blocks.
+JOINED, OTHER = r"\A\z|\A[{0}]|[{0}]\z".format(re.sub(r"\\u(\w{4})", r"\\x{\1}", SPACE)), r"[^\x00-\x{24f}]"
 
 
 class ChunkIds(dict):
@@ -65,6 +71,8 @@ class ChunkIds(dict):
             with open(ranks_path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.bytes_of = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+            self.bytes_of[list(ranks.values())] = [len(x) for x in ranks]
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -79,6 +87,16 @@ class ChunkIds(dict):
         self[chunk] = ids
         return ids
 
+    def merged(self, parts: pa.Array, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The ids of parts with a blank before each, of so many bytes, by one call, and how many ids each has."""
+        text = " " + pc.binary_join(pa.ListArray.from_arrays([0, len(parts)], parts.cast(pa.string())), " ")[0].as_py()
+        ids = np.array(self.fast(text), dtype="<u4")
+        id_ends, ends = np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)
+        last = np.searchsorted(id_ends, ends)
+        if (id_ends[last] != ends).any():
+            raise ValueError("a token reaches across a blank")
+        return ids.tobytes(), np.diff(last, prepend=-1)
+
     def of(self, text: str) -> bytes:
         """The ids of a whole text; special strings change where the library cuts, so it gets such texts whole."""
         if any(s in text for s in self.special):
@@ -86,6 +104,55 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, CHUNK.findall(text)))
 
 
+def ids_of_texts(known: ChunkIds, texts: pa.Array) -> list[bytes]:
+    """The ids of whole texts, none of them null.
+
+    Texts are cut at blanks.  A part without white space at its ends is made of chunks that don't depend on its neighbours,
+    so each distinct one is merged once, all of them in one call.  Texts with other parts are given to ``known`` whole.
+    """
+    split = pc.split_pattern(texts, pattern=" ")
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
+    parts = split.flatten().dictionary_encode()
+    names, at = parts.dictionary, parts.indices.to_numpy().astype(np.int64)
+    k, bytes_of = len(names), pc.binary_length(names).to_numpy()
+    at[np.concatenate([[0], ends[:-1]])] += k  # numbers from k on are parts that begin a text, without a blank before them
+    used = np.bincount(at, minlength=2 * k) > 0
+    apart = ~pc.match_substring_regex(names, pattern=JOINED).to_numpy(zero_copy_only=False)
+    alike = apart & (bytes_of <= LONGEST) & ~pc.match_substring_regex(names, pattern=OTHER).to_numpy(zero_copy_only=False) & (known.fast is not None)
+    merged, alone = np.flatnonzero(used[:k] & alike), np.flatnonzero(used & np.concatenate([apart & ~alike, apart | (bytes_of == 0)]))
+    sizes, starts = np.zeros(2 * k, dtype=np.int64), np.zeros(2 * k, dtype=np.int64)
+    pool = []
+    if len(merged):
+        ids, sizes[merged] = known.merged(names.take(pa.array(merged)), bytes_of[merged] + 1)
+        pool.append(ids)
+    for i, name in zip(alone.tolist(), names.take(pa.array(alone % max(1, k))).to_pylist()):
+        pool.append(b"".join(map(known.__getitem__, CHUNK.findall(name if i >= k else " " + name))))
+        sizes[i] = len(pool[-1]) // 4
+    placed = np.concatenate([merged, alone])
+    starts[placed] = np.cumsum(sizes[placed]) - sizes[placed]
+    n = sizes[at]
+    id_ends = np.cumsum(n)
+    ids = np.frombuffer(b"".join(pool), dtype="<u4")[np.repeat(starts[at] - (id_ends - n), n) + np.arange(n.sum())].tobytes()
+    settled = np.zeros(2 * k, dtype=bool)
+    settled[placed] = True
+    whole = np.zeros(len(texts), dtype=bool)
+    whole[np.searchsorted(ends, np.flatnonzero(~settled[at]), side="right")] = True
+    for special in known.special:
+        whole |= pc.match_substring(texts, pattern=special).to_numpy(zero_copy_only=False)
+    cuts = [0, *(4 * id_ends[ends - 1]).tolist()]
+    return [known.of(texts[i].as_py()) if w else ids[a:b] for i, (w, a, b) in enumerate(zip(whole.tolist(), cuts, cuts[1:]))]
+
+
+def all_ids(known: ChunkIds, texts: pa.Array):
+    """The ids of each of a batch's texts; null counts as empty."""
+    texts = texts.fill_null("")
+    group = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield from ids_of_texts(known, texts.slice(a, b - a))
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """id, piece, start, length, ids_crc32 of every piece; only the first of a longer document may be shorter."""
     slim = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
@@ -97,8 +164,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None, capacit
 
         def work(batch):
             rows, piece, starts, lengths, crcs = [], [], [], [], []
-            for i, raw in enumerate(utf8(batch, "text")):
-                ids = known.of(raw.decode()) + end
+            for i, found in enumerate(all_ids(known, batch.column("text"))):
+                ids = found + end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):

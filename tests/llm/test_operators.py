@@ -63,6 +63,27 @@ def test_packing_round_trip(spark, capacity):
     assert packing.pack(table(spark, []), GPT, RANKS, capacity).collect() == []
 
 
+def test_distinct_parts_of_texts_are_merged_in_one_call():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok, rnd = Tokenizer.from_file(GPT), random.Random(0)
+    odd = [" ", "  ", "\n", "\t", "\n\n", "\x1c", "\x85", "\xa0", "\u3000", "\u2028", "\r\n", "'s", "'", "é", "ß", "日本", "İ", "a\u0301", "🙂", "12", "x", "The", "!?", "\x00", "ɏ", "ɐ", "<|endoftext|>", "$", "\\", "y" * 1200]
+    texts = [None, "", " ", "\n", " a", "a ", "a  b", *(t for _, t, *_ in rows())]
+    texts += ["".join(rnd.choice(odd[:-3] if rnd.random() < 0.9 else odd) for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    texts += [" ".join(rnd.choice(WORDS) + rnd.choice(["", "", "\n", "\n\tx", "\xa0", "é"]) for _ in range(20)) for _ in range(300)]
+    want = [np.array(tok.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    for ranks in (RANKS, None):
+        for kind in (pa.string(), pa.large_string()):
+            assert list(packing.all_ids(packing.ChunkIds(GPT, ranks), pa.array(["unseen", *texts], type=kind)[1:])) == want
+    known, calls = packing.ChunkIds(GPT, RANKS), []
+    known.fast = lambda text, f=known.fast: calls.append(text) or f(text)
+    assert len(list(packing.all_ids(known, pa.array([" ".join(f"w{i * j}" for i in range(500)) for j in range(9)])))) == 9
+    assert len(calls) <= 2  # the parts behind blanks, and the one that begins all texts
+    assert list(packing.all_ids(known, pa.array([], type=pa.string()))) == []
+    assert list(packing.all_ids(known, pa.array([None, ""], type=pa.string()))) == [b"", b""]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_holds_everything_and_is_near_the_bound(seed):
     rnd = random.Random(seed)
