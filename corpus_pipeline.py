@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from positdb.llm import exactdedup, langid, minhash, mixing, packing
-from positdb.llm.common import clear_work, new_folder, stored, table, work_tables
+from positdb.llm.common import bound_batches, clear_work, new_folder, stored, table, work_tables
 from positdb.llm.queries import tokenizer_path
 
 #: Ids up to which a drop list is broadcast.
@@ -33,6 +33,7 @@ def without(docs: DataFrame, dropped: DataFrame, *keys: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     name = langid.classifier(docs, F.lit(True), unlearned="unlearned")
     return docs.withColumn("__language", name(F.col("text"))).where("__language.lang_pred != 'und'").select(docs.columns)
 
@@ -51,6 +52,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return without(docs, minhash.near_duplicates(docs, width=5, percent=80).where("not kept"))
 
 
@@ -68,6 +70,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 

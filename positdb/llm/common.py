@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Words are the maximal runs of bytes outside this set (ASCII white space only).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch of rows for Python, by ``bound_batches``.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +111,16 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
     return df.mapInArrow(run, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on this session's batches of rows for Python end at ``BATCH_BYTES`` too, or at its own bound if that is less.
+
+    By default they end at 10 000 rows, however long these are, and the JVM and the worker each hold a batch more than once.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(BATCH_BYTES + 1))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def keep_memory() -> None:
     """Have glibc keep freed memory in this worker: arrays of some MB are else given back and zeroed anew each time."""
     mallopt = getattr(ctypes.CDLL(None), "mallopt", None)

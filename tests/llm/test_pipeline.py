@@ -3,8 +3,10 @@
 import math
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
-from positdb.llm.common import stored
+from positdb.llm.common import BATCH_BYTES, stored
 
 from .data import SCHEMA, rows, table
 from .test_operators import brute_components
@@ -63,3 +65,34 @@ def test_copies_go_by_id_and_text(spark):
     found = [(1, "one text", "en", "a", 0), (2, "one text", "en", "a", 0), (2, "a text of its own", "en", "a", 0), (3, "third", "en", "a", 0), (3, "third", "en", "a", 0)]
     left = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, table(spark, found, extra=False), "").collect()
     assert sorted(map(tuple, left)) == sorted({r for r in found if r[:2] != (2, "one text")})
+
+
+def test_batches_for_python_end_by_bytes(spark):
+    """10 000 rows of any length were one batch, which the JVM and a worker hold more than once each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = table(spark, rows(n=20), extra=False)
+    long = spark.range(0, 60, 1, 1).selectExpr("repeat('0123456789', 20000) as text")
+    for name in ("language", "near_dedup", "pack"):
+        spark.conf.unset(key)
+        dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+        sizes = [r.n for r in long.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+        assert sum(sizes) >= 12_000_000 and max(sizes) <= BATCH_BYTES + 250_000
+    spark.conf.set(key, "1000")
+    corpus_pipeline.bound_batches(spark)
+    assert spark.conf.get(key) == "1000"
+    spark.conf.unset(key)
+
+
+def test_results_do_not_depend_on_batches(spark):
+    """Batches of a few bytes, so of single rows, give what one batch of all rows gives."""
+    docs, key, out = table(spark, rows(n=80), extra=False), "spark.sql.execution.arrow.maxBytesPerBatch", []
+    stages = dict(corpus_pipeline.STAGES)
+    for size in ("1", str(BATCH_BYTES)):
+        spark.conf.set(key, size)
+        left = docs
+        for name in ("language", "near_dedup"):
+            left = stored(stages[name](spark, left, ""), "t")
+        packed = stages["pack"](spark, left, "").drop("sequence_id", "offset")
+        out.append((sorted(map(str, left.collect())), sorted(map(str, packed.collect()))))
+    spark.conf.unset(key)
+    assert out[0] == out[1]
